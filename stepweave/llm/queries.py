@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idfile, language, media, packing
+from . import chat, idfile, language, media, packing, secrets
 
 #: Vocabulary files are a parameter; these are the public ones that the environment offers.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,58 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+#: A conversation whose texts hold control strings of the template.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    read = chat.read_back(chat.format_conversations(rows.unionByName(probe)))
+    spelled = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spelled, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("valid").alias("valid_order"),
+    )
+
+
+OP1_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'),
+      '<(s>|<SYS>>|</SYS>>|/s>)', 'xx\1', 'g'), '\[(INST\]|/INST\]|OUT\]|ROLE\]|:\]|/ROLE\])', 'xx\1', 'g')) AS text_chars,
+    length(replace(role, '\', '\\')) AS role_chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows),
+moves AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY i), '^') AS before FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+  CAST(3 + sum(text_chars + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 16 + role_chars END) AS BIGINT) AS formatted_chars,
+  bool_and((before = '^' AND role IN ('system', 'user')) OR (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant'))
+    AND NOT (count(*) = 1 AND bool_and(role = 'system')) AS valid_order
+FROM moves GROUP BY conv_id
+"""
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(secrets.count_kind(F.col("base"), k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)),
+        F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return media.read_media(media.store_text(docs), tiles=True)
@@ -49,5 +101,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {"op3_media": op3_media, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing, "op10_language": op10_language}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_chat": op1_chat, "op4_secrets": op4_secrets, "op3_media": op3_media, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing, "op10_language": op10_language}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
