@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, idfile, language, media, packing, secrets
+from . import chat, idfile, language, media, minhash, packing, secrets
 
 #: Vocabulary files are a parameter; these are the public ones that the environment offers.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,12 @@ FROM moves GROUP BY conv_id
 """
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs)
+    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -101,5 +107,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {"op1_chat": op1_chat, "op4_secrets": op4_secrets, "op3_media": op3_media, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing, "op10_language": op10_language}
+QUERIES = {"op1_chat": op1_chat, "op2_minhash": op2_minhash, "op4_secrets": op4_secrets, "op3_media": op3_media, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
