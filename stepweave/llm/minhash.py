@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, settled, slices
+from .shared import linked_components, settled, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -199,34 +199,6 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(hold, "a long, b long")
 
 
-def linked_components(rows: DataFrame, verify, near: Column, what: str) -> DataFrame:
-    """Components (node, component) of rows (bucket, node, ...): nodes that meet in a bucket and pass verify(pairs).
-
-    rows: a settled table of buckets with two nodes or more. near: a condition on rows f and o that every true pair
-    meets. First each bucket's nodes against its smallest; then, across components, every pair that near lets through.
-    """
-    heads = settled(rows.groupBy("bucket").agg(F.min("node").alias("head")), f"{what}-heads")
-    met = rows.select("bucket", "node").join(heads, "bucket")
-    first = settled(verify(met.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()), f"{what}-links")
-    part = components(first, what)
-    own = part.select("node", F.col("component").alias("c"))
-    head_own = part.select(F.col("node").alias("head"), F.col("component").alias("hc"))
-    placed = rows.join(heads, "bucket").join(own, "node", "left").join(head_own, "head", "left")
-    placed = placed.withColumns({"c": F.coalesce("c", "node"), "hc": F.coalesce("hc", "head")})
-    apart = settled(placed.where("c <> hc"), f"{what}-apart")
-    if apart.isEmpty():
-        return part
-    open_buckets = apart.select("bucket").distinct()
-    others = placed.where("node <> head").join(open_buckets, "bucket", "left_semi")  # pairs with the head are done
-    f, o = apart.alias("f"), others.alias("o")
-    on = (F.col("f.bucket") == F.col("o.bucket")) & (F.col("f.c") != F.col("o.c")) & ((F.col("o.c") == F.col("o.hc")) | (F.col("f.node") < F.col("o.node"))) & near
-    cross = f.join(o, on).select(F.greatest("f.node", "o.node").alias("a"), F.least("f.node", "o.node").alias("b")).distinct()
-    second = settled(verify(cross), f"{what}-links")
-    if second.isEmpty():
-        return part
-    return components(first.unionByName(second), what)
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: key, node, class_id (the smallest key of its class) and class_size; rows without a word: node null, a class of their own."""
     made = settled(sketch(docs, key, text), "sketch")

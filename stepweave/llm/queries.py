@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, idfile, language, media, minhash, packing, secrets
+from . import chat, idfile, language, lines, media, minhash, packing, secrets
 
 #: Vocabulary files are a parameter; these are the public ones that the environment offers.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -90,6 +90,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_text(docs), tiles=True)
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = idfile.write_ids(docs, tokenizer(WORD_TOKENIZER), END_ID)
@@ -107,5 +111,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_minhash": op2_minhash, "op4_secrets": op4_secrets, "op3_media": op3_media, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing, "op10_language": op10_language}
+QUERIES = {"op1_chat": op1_chat, "op2_minhash": op2_minhash, "op4_secrets": op4_secrets, "op3_media": op3_media, "op5_lines": op5_lines, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -81,7 +81,6 @@ def components(edges: DataFrame, what: str = "cc", most_rounds: int = 60) -> Dat
     Alternates large-star and small-star steps (Kiveris et al. 2014), each two joins and a distinct; every round is a
     table in the shared folder. Nodes without an edge are absent.
     """
-    spark = edges.sparkSession
     now = settled(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
     seen = None
     for _ in range(most_rounds):
@@ -99,5 +98,35 @@ def components(edges: DataFrame, what: str = "cc", most_rounds: int = 60) -> Dat
         now = settled(small, what)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()) if spark else stars
+    heads = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(heads)
+
+
+def linked_components(rows: DataFrame, verify, near: Column, what: str, features: DataFrame | None = None) -> DataFrame:
+    """Components (node, component) of rows (bucket, node, ...): nodes that meet in a bucket and pass verify(pairs).
+
+    rows: a settled table of buckets with two nodes or more. near: a condition on rows f and o that every true pair
+    meets; features: more columns of a node that it reads. First each bucket's nodes against its smallest; then, across components, every pair that near lets through.
+    """
+    heads = settled(rows.groupBy("bucket").agg(F.min("node").alias("head")), f"{what}-heads")
+    met = rows.select("bucket", "node").join(heads, "bucket")
+    first = settled(verify(met.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()), f"{what}-links")
+    part = components(first, what)
+    own = part.select("node", F.col("component").alias("c"))
+    head_own = part.select(F.col("node").alias("head"), F.col("component").alias("hc"))
+    placed = rows.join(heads, "bucket").join(own, "node", "left").join(head_own, "head", "left")
+    placed = placed.withColumns({"c": F.coalesce("c", "node"), "hc": F.coalesce("hc", "head")})
+    apart = settled(placed.where("c <> hc"), f"{what}-apart")
+    if apart.isEmpty():
+        return part
+    open_buckets = apart.select("bucket").distinct()
+    others = placed.where("node <> head").join(open_buckets, "bucket", "left_semi")  # pairs with the head are done
+    if features is not None:
+        apart, others = apart.join(features, "node"), others.join(features, "node")
+    f, o = apart.alias("f"), others.alias("o")
+    on = (F.col("f.bucket") == F.col("o.bucket")) & (F.col("f.c") != F.col("o.c")) & ((F.col("o.c") == F.col("o.hc")) | (F.col("f.node") < F.col("o.node"))) & near
+    cross = f.join(o, on).select(F.greatest("f.node", "o.node").alias("a"), F.least("f.node", "o.node").alias("b")).distinct()
+    second = settled(verify(cross), f"{what}-links")
+    if second.isEmpty():
+        return part
+    return components(first.unionByName(second), what)
