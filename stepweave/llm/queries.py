@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, idfile, language, lines, media, minhash, packing, secrets
+from . import chat, idfile, language, lines, media, minhash, mixing, packing, secrets, vectors
 
 #: Vocabulary files are a parameter; these are the public ones that the environment offers.
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -100,6 +100,18 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.look_up(manifest, docs)
 
 
+#: No source is repeated more than this on average; the least used one is used whole once.
+MOST_REPEATS = 1.25
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), most_repeats=MOST_REPEATS)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer(BYTE_TOKENIZER), END_ID)
@@ -111,5 +123,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_minhash": op2_minhash, "op4_secrets": op4_secrets, "op3_media": op3_media, "op5_lines": op5_lines, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing, "op10_language": op10_language}
+QUERIES = {"op1_chat": op1_chat, "op2_minhash": op2_minhash, "op4_secrets": op4_secrets, "op3_media": op3_media, "op5_lines": op5_lines, "op6_token_ids": op6_token_ids, "op7_vectors": op7_vectors, "op8_mixing": op8_mixing, "op9_packing": op9_packing, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
