@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import planned_bytes, settled, shared_path, slices
+from .shared import map_batches, planned_bytes, settled, shared_path, slices
 from .tokens import encoder
 
 MAGIC = b"SWIDS1"
@@ -179,7 +179,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
         values = [k[0], path, k[-1], len(k), n_ids, len(raw), zlib.crc32(raw)]
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if isinstance(v, str) else pa.int64()) for v in values], [x.split()[0] for x in MANIFEST.split(", ")])
 
-    return settled(rows.mapInArrow(write, MANIFEST), "manifest")
+    return settled(map_batches(rows, write, MANIFEST), "manifest")
 
 
 def look_up(manifest: DataFrame, keys: DataFrame, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -201,7 +201,7 @@ def look_up(manifest: DataFrame, keys: DataFrame, key: str = "doc_id", with_ids:
             at = np.searchsorted(firsts, k, side="right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(k[at >= 0]), pa.array(firsts[at[at >= 0]])], ["k", "shard"])
 
-    asked = keys.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k")).mapInArrow(send, "k long, shard long")
+    asked = map_batches(keys.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k")), send, "k long, shard long")
     hit = asked.join(placed, "shard").select("k", "path", "crc", "base")
     schema = f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [key, "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
@@ -241,4 +241,4 @@ def look_up(manifest: DataFrame, keys: DataFrame, key: str = "doc_id", with_ids:
                 cols.append(pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return hit.repartition("path").sortWithinPartitions("path", "k").mapInArrow(found, schema)
+    return map_batches(hit.repartition("path").sortWithinPartitions("path", "k"), found, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import map_batches, slices
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int
         for lang in sums:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([docs[lang]], pa.int64()), pa.array([sums[lang].astype("<i8").tobytes()], pa.binary())], ["l", "docs", "counts"])
 
-    found = kept.repartition(4).mapInArrow(counted, "l string, docs long, counts binary").collect()  # a row for each language and task
+    found = map_batches(kept.repartition(4), counted, "l string, docs long, counts binary").collect()  # a row for each language and task
     languages = tuple(sorted({r.l for r in found}))
     if not languages:
         return Model((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits, orders)
@@ -175,4 +175,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
                 names = pa.array([model.languages[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(p, pa.float64())], names=[*part.schema.names, lang_out, score_out])
 
-    return docs.mapInArrow(scored, schema)
+    return map_batches(docs, scored, schema)

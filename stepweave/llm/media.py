@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import map_batches, slices
 
 #: A payload is padded with blanks to a positive multiple of this: rows of 64 pixels of three samples.
 UNIT = 192
@@ -146,7 +146,7 @@ def store_text(docs: DataFrame, text: str = "text", form: str = "ppm", media: st
                 others = [c for k, c in enumerate(part.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(images, pa.binary()), pa.array([n for _, n in kept], pa.int64())], names=schema.names)
 
-    return out.mapInArrow(put, schema)
+    return map_batches(out, put, schema)
 
 
 def read_media(images: DataFrame, media: str = "media", tiles: bool = True) -> DataFrame:
@@ -176,4 +176,4 @@ def read_media(images: DataFrame, media: str = "media", tiles: bool = True) -> D
                 kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
                 yield pa.RecordBatch.from_arrays([*others, *(pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(added))], names=schema.names)
 
-    return images.mapInArrow(get, schema)
+    return map_batches(images, get, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import linked_components, settled, slices
+from .shared import linked_components, map_batches, settled, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -142,7 +142,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 2 << 20):
+            for part in slices(batch, text, 1 << 20):
                 t, h, c, _ = shingles(part.column(1).to_pylist())
                 n = part.num_rows
                 node = _content(t, h, c, n)
@@ -155,7 +155,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64), mask=node == 0), lists, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], [key, "node", "bands", "s1", "s2"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(signed, f"`{key}` {kind}, node long, bands array<long>, s1 long, s2 long")
+    return map_batches(docs.select(key, text), signed, f"`{key}` {kind}, node long, bands array<long>, s1 long, s2 long")
 
 
 def _bags(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
@@ -163,7 +163,7 @@ def _bags(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 2 << 20):
+            for part in slices(batch, text, 1 << 20):
                 t, h, c, starts = shingles(part.column(0).to_pylist())
                 node = _content(t, h, c, part.num_rows)
                 bags = [h[a:b].tobytes() + c[a:b].astype("<i4").tobytes() for a, b in zip(starts, starts[1:], strict=False)]
@@ -171,7 +171,7 @@ def _bags(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
 
     wanted = nodes.select(F.col("key").alias("_k")).distinct()
     some = docs.select(key, text).join(wanted, F.col(key).eqNullSafe(F.col("_k")), "left_semi").select(text)
-    made = some.mapInArrow(bagged, "node long, bag binary").dropDuplicates(["node"])
+    made = map_batches(some, bagged, "node long, bag binary").dropDuplicates(["node"])
     return made.join(nodes.select("node"), "node", "left_semi")
 
 
@@ -196,7 +196,7 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
     left = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
     both = left.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(hold, "a long, b long")
+    return map_batches(both.select("a", "b", "bag_a", "bag_b"), hold, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled, slices
+from .shared import map_batches, settled, slices
 from .tokens import encoder
 
 #: Rests packed together: large enough that open sequences at a block's end are few against its sequences.
@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select(key, text).mapInArrow(cut, schema)
+    return map_batches(docs.select(key, text), cut, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

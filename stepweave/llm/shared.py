@@ -26,8 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; it goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/stepweave/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, with its scheme; it goes when the driver's Python ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stepweave/{what}-{uuid.uuid4().hex}")
+    path = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
     if not _written:
         atexit.register(_forget)
     _written.append((spark, path))
@@ -51,6 +54,18 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of an Arrow batch: a task holds some such batches on either side of the pipe to its Python.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, after the session's Arrow batches have been bounded by bytes (a smaller bound that is set stays)."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size, from file sizes where it reads files; at most 1 EB."""
     return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 10**18)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, settled
+from .shared import components, map_batches, settled
 
 THRESHOLD = 0.93
 #: Rows, at most, on which the rotation is learned (those with the smallest hash).
@@ -83,7 +83,7 @@ def codes(rows: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), pa.array([u.tobytes() for u in x], pa.binary())], ["node", "label", "code", "unit"])
 
     kind = rows.schema["label"].dataType.simpleString()
-    return rows.where(F.size("v") == len(mean)).select("node", "label", "v").mapInArrow(coded, f"node long, label {kind}, code long, unit binary")
+    return map_batches(rows.where(F.size("v") == len(mean)).select("node", "label", "v"), coded, f"node long, label {kind}, code long, unit binary")
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -130,7 +130,7 @@ def rerank(pairs: DataFrame, coded: DataFrame, threshold: float = THRESHOLD) ->
 
     left = pairs.join(coded.select(F.col("node").alias("a"), F.col("unit").alias("x")), "a")
     both = left.join(coded.select(F.col("node").alias("b"), F.col("unit").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
+    return map_batches(both.select("a", "b", "x", "y"), hold, "a long, b long")
 
 
 def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
