@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, settled, slices
+from .shared import map_batches, settled, slices, workers_find_package
 from .tokens import encoder
 
 #: Rests packed together: large enough that open sequences at a block's end are few against its sequences.
@@ -107,6 +107,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, block: int = BLOCK, key: str =
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(group[0]) << 32) + sequence, offset=offset)
 
+    workers_find_package(pieces.sparkSession)
     dealt = rest.withColumn("_block", F.pmod(F.xxhash64(*by), F.lit(blocks)))
     return dealt.groupBy("_block").applyInPandas(place, schema).unionByName(full)
 

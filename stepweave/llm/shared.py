@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,13 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers get the folder of this package on their path, wherever the driver was started (a cluster has it installed)."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+
+
 #: Most bytes of an Arrow batch: a task holds some such batches on either side of the pipe to its Python.
 BATCH_BYTES = 8 << 20
 
@@ -63,6 +71,7 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    workers_find_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
