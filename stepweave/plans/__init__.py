@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import trace_queries  # noqa: F401  registers its queries
+from . import text_queries, trace_queries  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import harmonic
@@ -158,8 +159,6 @@ SELECT CAST(policy AS INTEGER) AS policy, count(*) AS n, count(*) FILTER (CASE W
 def b3(spark, sf_dir):
     grid = [(i * 4 + k, tau, delta) for i, tau in enumerate((0.2, 0.35, 0.5)) for k, delta in enumerate((0.1, 0.2, 0.3, 0.4))]
     rows = d_traces(spark, sf_dir)
-    from pyspark.sql import Window as W
-
     t = rows.withColumn("drop", F.lag("score", 1, 1.0).over(W.partitionBy("example_id").orderBy("step")) - F.col("score"))
     # every policy is a pair of conditional minima of one pass, not a copy of the rows
     hit = {n: F.coalesce(F.min(F.when((F.col("score") < tau) | (F.col("drop") > delta), F.col("step"))), F.lit(-1)).alias(f"p{n}") for n, tau, delta in grid}
@@ -199,12 +198,9 @@ def w7(spark, sf_dir):
 WITH m AS (SELECT example_id, step, score, max(score) OVER (PARTITION BY example_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(step) OVER (PARTITION BY example_id) AS last FROM d_traces WHERE label < 0)
 SELECT example_id, score >= before AS on_top, round(score - before, 9) AS gap FROM m WHERE step = last AND before IS NOT NULL""")
 def w6(spark, sf_dir):
-    from pyspark.sql import Window as W
-
+    w = W.partitionBy("example_id")
     good = d_traces(spark, sf_dir).where("label < 0")
-    a = good.groupBy("example_id").agg(F.max_by("score", "step").alias("score"), F.max(F.struct("step", "score")).alias("_last"), F.collect_list(F.struct("step", "score")).alias("_all"))
-    before = F.array_max(F.transform(F.filter("_all", lambda x: x["step"] < F.col("_last.step")), lambda x: x["score"]))
-    out = a.withColumn("before", before).where("before is not null")
+    out = good.withColumns({"before": F.max("score").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), "last": F.max("step").over(w)}).where("step = last and before is not null")
     return rounded(out.select("example_id", (F.col("score") >= F.col("before")).alias("on_top"), (F.col("score") - F.col("before")).alias("gap")))
 
 
@@ -233,8 +229,6 @@ def a35(spark, sf_dir):
 
 def index_quantiles(rows, value: str, at: dict[str, float], buckets: int = 1024):
     """Values at sorted places floor(n q): counts by range of the value find the range, then only that range is sorted."""
-    from pyspark.sql import Window as W
-
     span = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     wide = F.col("_hi") - F.col("_lo")
     b = rows.select(F.col(value).alias("_v")).crossJoin(F.broadcast(span)).withColumn("_b", F.when(wide > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / wide * buckets), F.lit(buckets - 1))).otherwise(0).cast("int"))
@@ -249,8 +243,6 @@ p AS (SELECT c.step, count(*) AS pairs, sum(CASE WHEN c.score > w.score THEN 1 E
 n AS (SELECT step, count(*) FILTER (label < 0) AS n_correct, count(*) FILTER (label >= 0) AS n_error FROM e GROUP BY step)
 SELECT n.step, n_correct, n_error, round(won / pairs, 9) AS p_above FROM n JOIN p ON n.step = p.step WHERE n_correct >= 5 AND n_error >= 5""")
 def j19(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     rows = d_traces(spark, sf_dir).where("step < 20")
     v = rows.groupBy("step", "score").agg(F.count_if(F.col("label") < 0).alias("c"), F.count_if(F.col("label") >= 0).alias("w"))
     below = F.coalesce(F.sum("w").over(W.partitionBy("step").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
