@@ -128,7 +128,13 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
         both = pairs.join(f, "a").join(o, "b").where(near("f", "o"))
         return both.where(edit_distance(characters(F.col("f.line")), characters(F.col("o.line")), edits) <= edits).select("a", "b")
 
-    return linked_components(rows, verify, near("f", "o"), "lines", texts.drop("line"))
+    def across(apart: DataFrame, others: DataFrame, on: Column) -> DataFrame:
+        # the test stands in the join's condition, so that only links leave the join
+        f, o = apart.join(texts, "node").alias("f"), others.join(texts, "node").alias("o")
+        alike = edit_distance(characters(F.col("f.line")), characters(F.col("o.line")), edits) <= edits
+        return f.join(o, on & near("f", "o") & alike).select(F.col("f.node").alias("a"), F.col("o.node").alias("b")).distinct()
+
+    return linked_components(rows, verify, across, "lines")
 
 
 def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

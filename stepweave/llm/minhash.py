@@ -10,8 +10,9 @@ processes. 32 bands of 4 registers give candidates (a pair of similarity 0.8 is
 
 Documents with equal shingles are one node. In each band bucket every node meets the smallest node; what the exact
 weighted Jaccard similarity of the shingle multisets confirms is linked. Then, in buckets that still hold several
-components, nodes of different components meet if 128 one-bit registers do not rule them out (5 standard deviations
-below the threshold); so all links between components are found while no group is expanded into all its pairs.
+components, nodes of different components are compared block by block: first by signature (pairs are ruled out 4.5
+standard deviations below the threshold), then exactly, unless other links of the block already connect them. A block
+gives back the links that connect its components, so no group is ever expanded into pairs.
 
 Defined results. A document without a word (null, empty, signs only) is a class of its own. Repeated rows and null keys
 are kept; a class has the smallest key in it (null if it has none but null). Other columns are not read.
@@ -22,11 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import linked_components, map_batches, settled, slices
+from .shared import linked_components, map_batches, settled, slices, workers_find_package
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -34,6 +36,10 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Most of 128 one-bit registers that may differ: at similarity 0.8 they do with a mean of 12.8 and a deviation of 3.4.
 MOST_APART = 30
+#: Least share of 128 registers that agree: 0.8 less 4.5 deviations.
+LEAST_AGREEING = 0.64
+#: Nodes, and bytes of signatures and bags, on one side of a block.
+BLOCK_NODES, BLOCK_BYTES = 1024, 8 << 20
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
 _P_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -159,7 +165,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _bags(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """node, bag (distinct shingles and counts) of the wanted nodes; nodes: node, one of its keys."""
+    """node, bag (distinct shingles and counts) and marks (16 bits of each register) of the wanted nodes; nodes: node, one of its keys."""
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,11 +173,12 @@ def _bags(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
                 t, h, c, starts = shingles(part.column(0).to_pylist())
                 node = _content(t, h, c, part.num_rows)
                 bags = [h[a:b].tobytes() + c[a:b].astype("<i4").tobytes() for a, b in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(bags, pa.binary())], ["node", "bag"])
+                marks = (mix(signatures(t, h, c, part.num_rows)) & U(0xFFFF)).astype("<u2")
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(bags, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], ["node", "bag", "marks"])
 
     wanted = nodes.select(F.col("key").alias("_k")).distinct()
     some = docs.select(key, text).join(wanted, F.col(key).eqNullSafe(F.col("_k")), "left_semi").select(text)
-    made = map_batches(some, bagged, "node long, bag binary").dropDuplicates(["node"])
+    made = map_batches(some, bagged, "node long, bag binary, marks binary").dropDuplicates(["node"])
     return made.join(nodes.select("node"), "node", "left_semi")
 
 
@@ -199,6 +206,52 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return map_batches(both.select("a", "b", "bag_a", "bag_b"), hold, "a long, b long")
 
 
+def connect(node: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, marks: np.ndarray, bags: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) that connect all parts which true pairs between the rows left and right connect."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    links = []
+    for i in left.tolist():
+        agree = (marks[right] == marks[i]).mean(axis=1)
+        for j in right[(agree >= LEAST_AGREEING) & (part[right] != part[i])].tolist():
+            a, b = root(int(part[i])), root(int(part[j]))
+            if a != b and similarity(bags[i], bags[j]) >= threshold:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(node[i]), int(node[j])))
+    return links
+
+
+def across_components(apart: DataFrame, others: DataFrame, on: Column, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links between components inside buckets, by blocks."""
+    differ = F.bit_count(F.col("f.s1").bitwiseXOR(F.col("o.s1"))) + F.bit_count(F.col("f.s2").bitwiseXOR(F.col("o.s2"))) <= MOST_APART
+    # semi-joins: a row of either side stays if the other has any that it might be linked with
+    f = apart.alias("f").join(others.alias("o"), on & differ, "left_semi")
+    o = others.alias("o").join(apart.alias("f"), on & differ, "left_semi")
+    met = settled(f.unionByName(o).select("bucket", "node", "c").distinct(), "near-met")
+    full = met.join(bags, "node")
+    size = F.octet_length("bag") + F.octet_length("marks")
+    blocks = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("_blocks"))
+    dealt = full.join(blocks, "bucket").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_i": F.least("_own", "_with"), "_j": F.greatest("_own", "_with")})
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        marks = np.frombuffer(b"".join(rows["marks"]), "<u2").reshape(len(rows), -1)
+        own, place = rows["_own"].to_numpy(), np.arange(len(rows))
+        i, j = int(rows["_i"][0]), int(rows["_j"][0])
+        left, right = place[own == i], place[own == j]
+        found = connect(rows["node"].to_numpy(), rows["c"].to_numpy(), left, right, marks, rows["bag"].tolist(), threshold)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    workers_find_package(full.sparkSession)
+    return dealt.select("bucket", "_i", "_j", "_own", "node", "c", "marks", "bag").groupBy("bucket", "_i", "_j").applyInPandas(link, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: key, node, class_id (the smallest key of its class) and class_size; rows without a word: node null, a class of their own."""
     made = settled(sketch(docs, key, text), "sketch")
@@ -209,8 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
     rows = settled(banded.join(shared, "bucket"), "bands")
     bags = settled(_bags(docs, rows.select("node").distinct().join(nodes, "node"), key, text), "bags")
-    apart = F.bit_count(F.col("f.s1").bitwiseXOR(F.col("o.s1"))) + F.bit_count(F.col("f.s2").bitwiseXOR(F.col("o.s2")))
-    part = linked_components(rows, lambda pairs: verified(pairs, bags, threshold), apart <= MOST_APART, "near")
+    part = linked_components(rows, lambda pairs: verified(pairs, bags, threshold), lambda f, o, on: across_components(f, o, on, bags, threshold), "near")
     of_node = settled(nodes.join(part.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node")), "classes")
     classes = of_node.groupBy("c").agg(F.min("key").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = of_node.select("node", "c").join(classes, "c").select("node", "class_id", "class_size")

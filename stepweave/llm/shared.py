@@ -126,11 +126,13 @@ def components(edges: DataFrame, what: str = "cc", most_rounds: int = 60) -> Dat
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(heads)
 
 
-def linked_components(rows: DataFrame, verify, near: Column, what: str, features: DataFrame | None = None) -> DataFrame:
-    """Components (node, component) of rows (bucket, node, ...): nodes that meet in a bucket and pass verify(pairs).
+def linked_components(rows: DataFrame, verify, across, what: str) -> DataFrame:
+    """Components (node, component) of rows (bucket, node, ...): nodes that meet in a bucket and pass a test.
 
-    rows: a settled table of buckets with two nodes or more. near: a condition on rows f and o that every true pair
-    meets; features: more columns of a node that it reads. First each bucket's nodes against its smallest; then, across components, every pair that near lets through.
+    rows: a settled table of buckets with two nodes or more. verify(pairs) keeps the true pairs of (a, b). First each
+    bucket's nodes meet its smallest. Then across(apart, others, on) links what is still in different components: apart
+    are the rows outside of their bucket's first component, others all rows but the smallest nodes; on says which of
+    their rows f and o have to meet. It may leave out links between nodes that its other links connect.
     """
     heads = settled(rows.groupBy("bucket").agg(F.min("node").alias("head")), f"{what}-heads")
     met = rows.select("bucket", "node").join(heads, "bucket")
@@ -140,17 +142,14 @@ def linked_components(rows: DataFrame, verify, near: Column, what: str, features
     head_own = part.select(F.col("node").alias("head"), F.col("component").alias("hc"))
     placed = rows.join(heads, "bucket").join(own, "node", "left").join(head_own, "head", "left")
     placed = placed.withColumns({"c": F.coalesce("c", "node"), "hc": F.coalesce("hc", "head")})
-    apart = settled(placed.where("c <> hc"), f"{what}-apart")
+    # pairs with the head are done, so a bucket of two is
+    open_buckets = placed.groupBy("bucket").agg(F.count_if(F.col("c") != F.col("hc")).alias("_out"), F.count(F.lit(1)).alias("_all")).where("_out > 0 and _all > 2").select("bucket")
+    others = settled(placed.where("node <> head").join(open_buckets, "bucket", "left_semi"), f"{what}-open")
+    apart = others.where("c <> hc")
     if apart.isEmpty():
         return part
-    open_buckets = apart.select("bucket").distinct()
-    others = placed.where("node <> head").join(open_buckets, "bucket", "left_semi")  # pairs with the head are done
-    if features is not None:
-        apart, others = apart.join(features, "node"), others.join(features, "node")
-    f, o = apart.alias("f"), others.alias("o")
-    on = (F.col("f.bucket") == F.col("o.bucket")) & (F.col("f.c") != F.col("o.c")) & ((F.col("o.c") == F.col("o.hc")) | (F.col("f.node") < F.col("o.node"))) & near
-    cross = f.join(o, on).select(F.greatest("f.node", "o.node").alias("a"), F.least("f.node", "o.node").alias("b")).distinct()
-    second = settled(verify(cross), f"{what}-links")
+    on = (F.col("f.bucket") == F.col("o.bucket")) & (F.col("f.c") != F.col("o.c")) & ((F.col("o.c") == F.col("o.hc")) | (F.col("f.node") < F.col("o.node")))
+    second = settled(across(apart, others, on), f"{what}-links")
     if second.isEmpty():
         return part
     return components(first.unionByName(second), what)
