@@ -206,22 +206,24 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return map_batches(both.select("a", "b", "bag_a", "bag_b"), hold, "a long, b long")
 
 
-def connect(node: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, marks: np.ndarray, bags: list[bytes], threshold: float) -> list[tuple[int, int]]:
-    """Links (a, b) that connect all parts which true pairs between the rows left and right connect."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
+def connect(node: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, marks: np.ndarray, band: int, bags: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) that connect all parts which true pairs between the rows left and right connect.
 
+    A pair that agrees in an earlier band as well is that band's.
+    """
+    root = part.copy()
+    least = int(np.ceil(LEAST_AGREEING * marks.shape[1]))
     links = []
     for i in left.tolist():
-        agree = (marks[right] == marks[i]).mean(axis=1)
-        for j in right[(agree >= LEAST_AGREEING) & (part[right] != part[i])].tolist():
-            a, b = root(int(part[i])), root(int(part[j]))
-            if a != b and similarity(bags[i], bags[j]) >= threshold:
-                parent[max(a, b)] = min(a, b)
+        some = right[root[right] != root[i]]
+        same = marks[some] == marks[i]
+        close = np.count_nonzero(same, axis=1) >= least
+        some, same = some[close], same[close]
+        own = same.reshape(len(some), -1, ROWS).all(axis=2).argmax(axis=1) == band
+        for j in some[own].tolist():
+            if root[i] != root[j] and similarity(bags[i], bags[j]) >= threshold:
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
                 links.append((int(node[i]), int(node[j])))
     return links
 
@@ -232,7 +234,7 @@ def across_components(apart: DataFrame, others: DataFrame, on: Column, bags: Dat
     # semi-joins: a row of either side stays if the other has any that it might be linked with
     f = apart.alias("f").join(others.alias("o"), on & differ, "left_semi")
     o = others.alias("o").join(apart.alias("f"), on & differ, "left_semi")
-    met = settled(f.unionByName(o).select("bucket", "node", "c").distinct(), "near-met")
+    met = settled(f.unionByName(o).select("bucket", "band", "node", "c").distinct(), "near-met")
     full = met.join(bags, "node")
     size = F.octet_length("bag") + F.octet_length("marks")
     blocks = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("_blocks"))
@@ -245,11 +247,11 @@ def across_components(apart: DataFrame, others: DataFrame, on: Column, bags: Dat
         own, place = rows["_own"].to_numpy(), np.arange(len(rows))
         i, j = int(rows["_i"][0]), int(rows["_j"][0])
         left, right = place[own == i], place[own == j]
-        found = connect(rows["node"].to_numpy(), rows["c"].to_numpy(), left, right, marks, rows["bag"].tolist(), threshold)
+        found = connect(rows["node"].to_numpy(), rows["c"].to_numpy(), left, right, marks, int(rows["band"][0]), rows["bag"].tolist(), threshold)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     workers_find_package(full.sparkSession)
-    return dealt.select("bucket", "_i", "_j", "_own", "node", "c", "marks", "bag").groupBy("bucket", "_i", "_j").applyInPandas(link, "a long, b long").distinct()
+    return dealt.select("bucket", "band", "_i", "_j", "_own", "node", "c", "marks", "bag").groupBy("bucket", "_i", "_j").applyInPandas(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -258,7 +260,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     nodes = settled(made.where("node is not null").groupBy("node").agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("n")), "nodes")
     # every row of a node has the same bands; those of its smallest key stand for it
     alone = made.where("node is not null").join(nodes.select("node", "key"), "node").where(F.col(key).eqNullSafe(F.col("key"))).dropDuplicates(["node"])
-    banded = alone.select("node", "s1", "s2", F.explode("bands").alias("bucket"))
+    banded = alone.select("node", "s1", "s2", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
     rows = settled(banded.join(shared, "bucket"), "bands")
     bags = settled(_bags(docs, rows.select("node").distinct().join(nodes, "node"), key, text), "bags")

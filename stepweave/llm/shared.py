@@ -106,14 +106,12 @@ def components(edges: DataFrame, what: str = "cc", most_rounds: int = 60) -> Dat
     table in the shared folder. Nodes without an edge are absent.
     """
     now = settled(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
-    seen = None
     for _ in range(most_rounds):
-        n, mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if n == 0:
+        # done when every node is either a head or has one edge, to a head
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("child")), F.struct(F.col("b").alias("node"), F.lit(0).alias("child")))).alias("e")).select("e.*")
+        roles = ends.groupBy("node").agg(F.sum("child").alias("up"), F.min("child").alias("head"))
+        if roles.where("up > 1 or (up = 1 and head = 0)").isEmpty():
             break
-        if (n, mark) == seen:
-            break
-        seen = (n, mark)
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
