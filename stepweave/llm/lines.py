@@ -31,28 +31,27 @@ def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Place (from 0) and size of a line's i-th segment; the last ones are one longer if they don't come out even."""
-    size, longer = F.floor(length / (edits + 1)), length % (edits + 1)
-    over = F.greatest(F.lit(0), longer - (edits + 1 - i))
-    return size * i + over, size + F.when(longer >= edits + 1 - i, 1).otherwise(0)
-
-
-def entries(line: Column, length: Column, edits: int) -> Column:
-    """array<struct<bucket, own>>: hashes of what a line is put under; own: one of its own segments."""
-    out = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            place, size = segment(length - less, i, edits)
-            # the edits before the segment shift it, and so do those behind it
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                at = place + shift
-                own = less == 0 and shift == 0
-                bucket = F.xxhash64(F.lit(i), length - less, F.substring(line, at + 1, size))
-                inside = F.lit(True) if own else (at >= 0) & (at + size <= length)
-                out.append(F.when(inside, F.struct(bucket.alias("bucket"), F.lit(own).alias("own"))))
-    return F.array(*out)
+def entries(lines: DataFrame, edits: int) -> DataFrame:
+    """node, bucket, own for each thing that a line (node, line, n: its length) is put under; own: one of its own segments.
+
+    Segments are even, the last ones one longer if they don't come out even. For lines of a length ``less`` below this
+    one's, the edits before a segment shift it, and so do those behind it.
+    """
+    parts = edits + 1
+    probes = [(less, i, shift) for less in range(parts) for i in range(parts) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    # a row for each, computed in generated code: written out side by side, they would outgrow what the JVM compiles
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift")) for a, b, c in probes)))
+    rows = lines.select("node", "line", "n", each.alias("e")).select("node", "line", "n", "e.less", "e.i", "e.shift", (F.col("n") - F.col("e.less")).alias("rest"))
+    rows = rows.withColumns({"longer": F.col("rest") % parts, "short": F.floor(F.col("rest") / parts).cast("int")})
+    rows = rows.withColumns({"at": F.col("short") * F.col("i") + F.greatest(F.lit(0), F.col("longer") - (parts - F.col("i"))) + F.col("shift"), "size": F.col("short") + F.when(F.col("longer") >= parts - F.col("i"), 1).otherwise(0)})
+    inside = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    return inside.select("node", F.xxhash64("i", "rest", F.expr("substring(line, at + 1, size)")).alias("bucket"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
+
+
+def common_prefix(a: Column, b: Column, most: int = 1 << 20) -> Column:
+    """Number of code points that two strings begin with alike (a power-of-two search; a lower bound beyond ``most``)."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda p, k: F.when((F.length(a) >= p + k) & (F.substring(a, p + 1, k) == F.substring(b, p + 1, k)), p + k).otherwise(p))
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
@@ -89,11 +88,13 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
         """f of value, which is evaluated once."""
         return F.get(F.transform(F.array(value), f), 0)
 
+    n, m = F.size(b), F.size(a)
+
     def step(s: Column, j: Column) -> Column:
-        return let(let(let(column(s, j), diagonal), flat), upright)
+        # the score never falls along the diagonal, and by n + most - m at most on the way to the last row
+        return F.when(s["score"] > most + (n + most - m), s).otherwise(let(let(let(column(s, j), diagonal), flat), upright))
 
     start = F.struct(F.lit(full & ~((1 << most) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(most).alias("score"))
-    n, m = F.size(b), F.size(a)
     state = F.aggregate(F.sequence(F.lit(1), n), start, step)
     below = F.get(F.array(*(F.lit((top - 1) >> k << k).cast("long") for k in range(width))), m - n + most)
     exact = let(state, lambda s: (s["score"] - F.bit_count(s["vp"].bitwiseAND(below)) + F.bit_count(s["vn"].bitwiseAND(below))).cast("int"))
@@ -104,13 +105,19 @@ def characters(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)(.)"), F.lit(1))
 
 
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are within that many edits; what they begin with alike is left out."""
+    rest = F.transform(F.array(common_prefix(a, b)), lambda p: F.struct(characters(F.substring(a, p + 1, F.length(a))).alias("a"), characters(F.substring(b, p + 1, F.length(b))).alias("b")))
+    return F.get(F.transform(rest, lambda x: edit_distance(x["a"], x["b"], edits)), 0) <= edits
+
+
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """node (hash of a line), component (the smallest node of its class); lines that are like no other text are absent."""
     if min_chars <= edits:
         raise ValueError("lines must be longer than the number of edits")
     lines = split_lines(docs, key, text).where(F.length("line") >= min_chars)
     distinct = lines.groupBy("line").agg(F.count(F.lit(1)))
-    put = distinct.select(F.xxhash64("line").alias("node"), F.explode(entries(F.col("line"), F.length("line"), edits)).alias("e")).where("e is not null").select("node", "e.bucket", "e.own")
+    put = entries(distinct.select(F.xxhash64("line").alias("node"), "line", F.length("line").alias("n")), edits)
     bucket = W.partitionBy("bucket")
     held = put.select("node", "bucket", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"), F.max("own").over(bucket).alias("own"))
     rows = settled(held.where("low < high and own").select("bucket", "node").distinct(), "line-entries")
@@ -126,13 +133,12 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     def verify(pairs: DataFrame) -> DataFrame:
         f, o = texts.withColumnRenamed("node", "a").alias("f"), texts.withColumnRenamed("node", "b").alias("o")
         both = pairs.join(f, "a").join(o, "b").where(near("f", "o"))
-        return both.where(edit_distance(characters(F.col("f.line")), characters(F.col("o.line")), edits) <= edits).select("a", "b")
+        return both.where(alike(F.col("f.line"), F.col("o.line"), edits)).select("a", "b")
 
     def across(apart: DataFrame, others: DataFrame, on: Column) -> DataFrame:
         # the test stands in the join's condition, so that only links leave the join
         f, o = apart.join(texts, "node").alias("f"), others.join(texts, "node").alias("o")
-        alike = edit_distance(characters(F.col("f.line")), characters(F.col("o.line")), edits) <= edits
-        return f.join(o, on & near("f", "o") & alike).select(F.col("f.node").alias("a"), F.col("o.node").alias("b")).distinct()
+        return f.join(o, on & near("f", "o") & alike(F.col("f.line"), F.col("o.line"), edits)).select(F.col("f.node").alias("a"), F.col("o.node").alias("b")).distinct()
 
     return linked_components(rows, verify, across, "lines")
 
