@@ -15,7 +15,7 @@ FLAGS_SQL = r"""f AS (SELECT pair_id, source_tag, domain_tag, semantics, pair_co
 g AS (SELECT *, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS overlap FROM f)"""
 
 
-@query("f1_quality_flags", f"WITH {FLAGS_SQL} SELECT pair_id, nc AS chosen_chars, nr AS rejected_chars, round(ratio, 9) AS length_ratio, round(overlap, 9) AS token_overlap_ratio, nc > 0 AND nr > 0 AS non_empty, differ AS distinct_pair FROM g")
+@query("f1_quality_flags", f"WITH {FLAGS_SQL} SELECT pair_id, CAST(nc AS INTEGER) AS chosen_chars, CAST(nr AS INTEGER) AS rejected_chars, round(ratio, 9) AS length_ratio, round(overlap, 9) AS token_overlap_ratio, nc > 0 AND nr > 0 AS non_empty, differ AS distinct_pair FROM g")
 def f1(spark, sf_dir):
     p = d_pairs(spark, sf_dir).select("pair_id", cu.quality_flags(F.col("chosen_text"), F.col("rejected_text")).alias("q")).select("pair_id", "q.*").drop("prompt_chars")
     return rounded(p)

@@ -210,7 +210,7 @@ def w17(spark, sf_dir):
     return rounded(me.isotonic_blocks(rows, "x", "y").select("right_edge", "value"))
 
 
-@query("w18_isotonic_apply", "SELECT example_id, step, CASE WHEN score < 0.25 THEN 0.1 WHEN score < 0.5 THEN 0.4 ELSE 0.8 END AS fitted FROM d_traces")
+@query("w18_isotonic_apply", "SELECT example_id, step, CAST(CASE WHEN score < 0.25 THEN 0.1 WHEN score < 0.5 THEN 0.4 ELSE 0.8 END AS DOUBLE) AS fitted FROM d_traces")
 def w18(spark, sf_dir):
     return me.apply_isotonic(d_traces(spark, sf_dir), "score", [0.25, 0.5, 1.0], [0.1, 0.4, 0.8]).select("example_id", "step", "fitted")
 
