@@ -25,7 +25,7 @@ from .shared import map_batches, slices
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
-#: Most labelled rows that fit() reads, and most characters of training text it takes of a row: bounds of the sample.
+#: Labelled rows that fit() learns from, about, at most; and most characters of training text it takes of a row: bounds of the sample.
 TRAIN_ROWS = 20_000
 TRAIN_CHARS = 4_000
 SMOOTHING = 0.5
@@ -106,9 +106,14 @@ def count_grams(texts: list[str], bits: int = BUCKET_BITS, orders: tuple[int, ..
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, bits: int = BUCKET_BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = SMOOTHING) -> Model:
-    """Learns from at most ``rows`` labelled rows (those with the smallest hash of their text) and ``chars`` of each."""
-    kept = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.substring(text, 1, chars).alias("t"), F.col(label).cast("string").alias("l"))
-    kept = kept.orderBy(F.xxhash64("t", "l"), "l").limit(rows)
+    """Learns from about ``rows`` labelled rows at most (a share of all by a hash of text and label) and ``chars`` of each.
+
+    The share is taken where the rows are read, so a large table sends no more to the counting tasks than a small one.
+    """
+    named = labelled.where(F.col(label).isNotNull())
+    share = min(1.0, rows / max(1, named.count()))
+    kept = named.where(F.col(text).isNotNull()).select(F.substring(text, 1, chars).alias("t"), F.col(label).cast("string").alias("l"))
+    kept = kept.where(F.xxhash64("t", "l") / 2.0**64 + 0.5 <= share)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
