@@ -13,14 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import last_boxed, squash, unwrap
+from ..functions.text import last_boxed, squash, strip, unwrap
 from ..operators.curation import split_alias
 
 CANONICAL = ["id", "dataset", "question", "answer", "cot"]
 
 
 def _sample(rows: DataFrame, dataset: str, key: Column, question: Column, answer: Column, cot: Column) -> DataFrame:
-    out = rows.select(F.concat(F.lit(f"{dataset}:"), key.cast("string")).alias("id"), F.lit(dataset).alias("dataset"), F.trim(question).alias("question"), F.trim(answer).alias("answer"), F.nullif(F.trim(cot), F.lit("")).alias("cot"))
+    out = rows.select(F.concat(F.lit(f"{dataset}:"), key.cast("string")).alias("id"), F.lit(dataset).alias("dataset"), strip(question).alias("question"), strip(answer).alias("answer"), F.nullif(strip(cot), F.lit("")).alias("cot"))
     return out.where((F.length("question") > 0) & (F.length("answer") > 0))
 
 
