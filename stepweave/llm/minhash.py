@@ -218,8 +218,10 @@ def connect(node: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndar
         some = right[root[right] != root[i]]
         same = marks[some] == marks[i]
         close = np.count_nonzero(same, axis=1) >= least
+        if not close.any():
+            continue
         some, same = some[close], same[close]
-        own = same.reshape(len(some), -1, ROWS).all(axis=2).argmax(axis=1) == band
+        own = same.reshape(len(some), marks.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
         for j in some[own].tolist():
             if root[i] != root[j] and similarity(bags[i], bags[j]) >= threshold:
                 low, high = sorted((root[i], root[j]))
