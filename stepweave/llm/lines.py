@@ -22,6 +22,8 @@ from .shared import linked_components, settled
 
 EDITS = 2
 MIN_CHARS = 24
+#: Bits of the filter that keeps most lines out of the shuffle for texts: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
 #: Letters whose counts rule pairs out: an edit changes the sum of their differences by two at most.
 LETTERS = ("eE", "aA", "nN", "iI", "tT", "oO", "rR", "sS", "hH", "lL", "dD", "uU")
 
@@ -105,6 +107,17 @@ def characters(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)(.)"), F.lit(1))
 
 
+def possibly(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose node may be among wanted: a bitmap of a fixed size, which every task gets, lets through a few more."""
+    slot = F.pmod(F.col("node"), F.lit(bits))
+    page = 32_768  # bits of a bitmap_construct_agg
+    maps = wanted.select((slot / page).cast("int").alias("_page"), (slot % page).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    marked = rows.withColumns({"_slot": slot, "_page": (slot / page).cast("int")}).join(F.broadcast(maps), "_page")  # bits / page rows of 4 KB at most
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_slot % {page} as int) div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col("_slot") % 8).cast("int") + 1)) != 0
+    return marked.where(hit).drop("_slot", "_page", "_map")
+
+
 def alike(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are within that many edits; what they begin with alike is left out."""
     rest = F.transform(F.array(common_prefix(a, b)), lambda p: F.struct(characters(F.substring(a, p + 1, F.length(a))).alias("a"), characters(F.substring(b, p + 1, F.length(b))).alias("b")))
@@ -123,7 +136,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     rows = settled(held.where("low < high and own").select("bucket", "node").distinct(), "line-entries")
     wanted = rows.select("node").distinct()
     counts = [(F.length("line") - F.length(F.translate("line", pair, ""))).alias(f"n{i}") for i, pair in enumerate(LETTERS)]
-    texts = lines.select(F.xxhash64("line").alias("node"), "line").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = possibly(lines.select(F.xxhash64("line").alias("node"), "line"), wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     texts = settled(texts.select("node", "line", F.length("line").alias("n"), *counts), "line-texts")
 
     def near(f: str, o: str) -> Column:
