@@ -1,7 +1,7 @@
 """Filters, dedup, splits, caps, quotas and orders over rows with a text id.
 
-Ranks are by stated orders, never by the order of rows in files. A cap by rank within a key shuffles by that key; where a
-key can hold most of the rows, ``sharded_top`` keeps each task's best first.
+Ranks are by stated orders, never by the order of rows in files. A cap by rank within a key shuffles by that key; Spark
+filters ranks below a limit in the map tasks already where the limit is a literal.
 """
 
 from __future__ import annotations
