@@ -136,7 +136,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     rows = settled(held.where("low < high and own").select("bucket", "node").distinct(), "line-entries")
     wanted = rows.select("node").distinct()
     counts = [(F.length("line") - F.length(F.translate("line", pair, ""))).alias(f"n{i}") for i, pair in enumerate(LETTERS)]
-    texts = possibly(lines.select(F.xxhash64("line").alias("node"), "line"), wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = possibly(lines.select(F.xxhash64("line").alias("node"), "line"), wanted).join(wanted, "node").dropDuplicates(["node"])  # no semi-join: that would be moved below the filter
     texts = settled(texts.select("node", "line", F.length("line").alias("n"), *counts), "line-texts")
 
     def near(f: str, o: str) -> Column:
