@@ -7,8 +7,9 @@ each length up to EDITS less, under the substrings of its own that could be such
 compared by a banded bit-parallel edit distance, in the way that shared.linked_components orders. A class is a connected
 component; its first line, by key and then place, stays, the others are repeats.
 
-Defined results. Null text is one empty line. Lines shorter than MIN_CHARS are never repeats. Blanks at a line's ends
-don't count. Rows with one key are one document: each gets the same result. Null keys come first. Extra columns stay.
+Defined results. Null text is one empty line. Shorter lines have no edit join: two edits would make most words alike.
+With exact_short a shorter line that is not empty is in a class with its equals, without it none is a repeat. Blanks at
+a line's ends don't count. Rows with one key are one document: each gets the same result. Null keys come first. Extra columns stay.
 Lines are known by a 64-bit hash.
 """
 
@@ -156,10 +157,11 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     return linked_components(rows, verify, across, "lines")
 
 
-def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Every line of docs: key, line_no, class_id (hash of a line of the class; null for a short one), class_lines (lines of that class), kept."""
+def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
+    """Every line of docs: key, line_no, class_id (hash of a line of the class; null for one in no class), class_lines (lines of that class), kept."""
     classes = line_classes(docs, key, text, edits, min_chars)
-    lines = split_lines(docs, key, text).select("key", "line_no", F.when(F.length("line") >= min_chars, F.xxhash64("line")).alias("node"))
+    least = 1 if exact_short else min_chars
+    lines = split_lines(docs, key, text).select("key", "line_no", F.when(F.length("line") >= least, F.xxhash64("line")).alias("node"))
     placed = lines.join(classes, "node", "left").select("key", "line_no", F.coalesce("component", "node").alias("class_id"))
     placed = settled(placed, "lines")
     firsts = placed.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("class_lines"))
@@ -168,9 +170,9 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     return out.select(F.col("key").alias(key), "line_no", "class_id", F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), kept.alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """docs without repeated lines; a document of which nothing is left goes, one that had no line to lose stays."""
-    repeats = judge_lines(docs, key, text, edits, min_chars).where("not kept").groupBy(F.col(key).alias("_k")).agg(F.collect_set("line_no").alias("_gone"))
+    repeats = judge_lines(docs, key, text, edits, min_chars, exact_short).where("not kept").groupBy(F.col(key).alias("_k")).agg(F.collect_set("line_no").alias("_gone"))
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

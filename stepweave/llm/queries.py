@@ -91,7 +91,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_short=True)
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

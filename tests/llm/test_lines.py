@@ -91,3 +91,17 @@ def test_dedup_keeps_columns_and_clean_documents(spark):
     assert out[1].text == rows[0][1] and out[2].text == "y" and 3 not in out
     assert out[4].text is None and out[5].text == "" and out[6].text == "ok\nok" and out[1].line == "s"
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_and_stage_class_short_lines(spark, tmp_path):
+    import corpus_pipeline as P
+    from stepweave.llm.queries import op5_lines
+
+    rows = [(1, "Les.\n\n all rights \nok"), (2, "Les.\n\nall rights\nno"), (3, "Les."), (4, "ok\nok")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): r for r in op5_lines(spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if not r.kept} == {(2, 0), (2, 2), (3, 0), (4, 0), (4, 1)}
+    assert got[1, 0].class_id == got[2, 0].class_id == got[3, 0].class_id and got[1, 0].class_lines == 3 == got[4, 1].class_lines
+    assert got[1, 1].class_id is None and got[2, 1].kept and len({r.class_id for r in got.values()}) == 5
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    assert {(r.doc_id, r.text, r.n_chars) for r in P.dedup_lines(spark, docs, "").collect()} == {(1, rows[0][1], 21), (2, "\nno", 3)}
