@@ -106,6 +106,15 @@ def spread_places(n: int, count: Column) -> Column:
     return F.when(count <= n, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array_distinct(many))
 
 
+def diverse_places(n: int, count: Column) -> Column:
+    """array of the 1-based places of n of count candidates: the first; with n = 2 the last; else the rest spread evenly behind the first (half-even rounding)."""
+    if n <= 2:
+        return spread_places(n, count)
+    rest = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: F.bround(i * (count - 2) / F.lit(n - 2)).cast("long") + 2)
+    # more than n - 1 candidates over n - 1 places: no two places fall together
+    return F.when(count <= n, F.sequence(F.lit(1).cast("long"), count.cast("long"))).otherwise(F.concat(F.array(F.lit(1).cast("long")), rest))
+
+
 def spread_select(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """n rows of each key, evenly spread in order."""
     ranked = rows.withColumns({"_n": F.row_number().over(W.partitionBy(key).orderBy(order)), "_all": F.count(F.lit(1)).over(W.partitionBy(key))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .curation import spread_places
+from .curation import diverse_places, spread_places
 
 
 def prefix_at(steps: Column, i: Column, joint: str = "\n") -> Column:
@@ -37,18 +37,23 @@ def first_bad_fanout(rows: DataFrame, most: int = 2) -> DataFrame:
     return r.select("key", F.explode(chosen).alias("good"), F.col("k").alias("bad"))
 
 
+def grid_pair(place: Column, k: Column, n: Column) -> Column:
+    """struct (good, bad) at a 1-based place of the grid of k good and n - k bad steps, which is not written out.
+
+    The order: the edge; earlier good ones with the first bad; the last good one with later bad ones; then by later bad one
+    all earlier good ones, the latest first.
+    """
+    rest = place - n  # from 0, behind the edge, k - 1 early and n - k - 1 later ones
+    early = F.greatest(k - 1, F.lit(1))
+    good = F.when(place <= k, k - place).when(place <= n - 1, k - 1).otherwise(k - 2 - F.pmod(rest, early))
+    bad = F.when(place <= k, k).when(place <= n - 1, place).otherwise(k + 1 + F.floor(rest / early))
+    return F.struct(good.cast("int").alias("good"), bad.cast("int").alias("bad"))
+
+
 def all_good_vs_all_bad(rows: DataFrame, most: int = 6) -> DataFrame:
-    """A spread of (edge; earlier good with first bad; last good with later bad; the rest), ``most`` pairs at most of a row."""
-    r = rows.withColumn("k", first_negative(F.col("signs")).cast("int")).where("k > 0")
-    n = F.size("signs")
-    pair = lambda g, b: F.struct(g.cast("int").alias("good"), b.cast("int").alias("bad"))
-    empty = F.array().cast("array<struct<good:int,bad:int>>")
-    edge = F.array(pair(F.col("k") - 1, F.col("k")))
-    early = F.when(F.col("k") > 1, F.transform(F.reverse(F.sequence(F.lit(0), F.col("k") - 2)), lambda g: pair(g, F.col("k")))).otherwise(empty)
-    later = F.when(n > F.col("k") + 1, F.transform(F.sequence(F.col("k") + 1, n - 1), lambda b: pair(F.col("k") - 1, b))).otherwise(empty)
-    rest = F.when((F.col("k") > 1) & (n > F.col("k") + 1), F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 2), lambda g: F.transform(F.sequence(F.col("k") + 1, n - 1), lambda b: pair(g, b))))).otherwise(empty)
-    r = r.withColumn("all", F.concat(edge, early, later, rest))
-    chosen = F.transform(spread_places(most, F.size("all")), lambda p: F.element_at("all", p))
+    """A diverse choice of (edge; earlier good with first bad; last good with later bad; the rest), ``most`` pairs at most of a row."""
+    r = rows.withColumn("k", first_negative(F.col("signs")).cast("long")).where("k > 0").withColumn("n", F.size("signs").cast("long"))
+    chosen = F.transform(diverse_places(most, F.col("k") * (F.col("n") - F.col("k"))), lambda p: grid_pair(p, F.col("k"), F.col("n")))
     return r.select("key", "k", F.explode(chosen).alias("p")).select("key", "p.good", "p.bad", grid_confidence(F.col("p.good"), F.col("p.bad"), F.col("k")).alias("confidence"))
 
 

@@ -34,8 +34,7 @@ def g7(spark, sf_dir):
 @query("g8_g11_good_bad_grid", f"""WITH {SIGN_SQL}, p AS (SELECT a.key, a.step AS good, b.step AS bad, k.k FROM k JOIN s a ON a.key = k.key AND a.step < k.k JOIN s b ON b.key = k.key AND b.step >= k.k WHERE k.k > 0 AND k.k * (k.n - k.k) <= 6)
 SELECT key, good, bad, CAST(greatest(0.74 - 0.04 * least(greatest(k - 1 - good, 0), 4) - 0.03 * least(greatest(bad - k, 0), 4), 0.55) AS DOUBLE) AS confidence FROM p""")
 def g8(spark, sf_dir):
-    small = signed(spark, sf_dir).withColumn("_k", pr.first_negative(F.col("signs"))).where(F.col("_k") * (F.size("signs") - F.col("_k")) <= 6)
-    return rounded(pr.all_good_vs_all_bad(small))
+    return rounded(pr.all_good_vs_all_bad(signed(spark, sf_dir)))
 
 
 @query("g10_terminal_anchors", f"WITH {SIGN_SQL} SELECT key, CAST(n - 1 AS INTEGER) AS good, CAST(bad AS INTEGER) AS bad, CAST(CASE WHEN n - 1 - bad <= 1 THEN 0.70 ELSE 0.66 END AS DOUBLE) AS confidence FROM (SELECT key, n, unnest(CASE WHEN n = 2 THEN [0] ELSE [n - 2, 0] END) AS bad FROM k WHERE k IS NULL AND n >= 2)")
