@@ -46,9 +46,11 @@ def g10(spark, sf_dir):
 b AS (SELECT key, max(rating) FILTER (rating >= 0) AS br, min(rating) FILTER (rating < 0) AS wr FROM c GROUP BY key)
 SELECT key, 0 AS step, CAST(CASE WHEN br - wr >= 2 THEN 0.78 WHEN br - wr >= 1 THEN 0.70 ELSE 0.62 END AS DOUBLE) AS confidence FROM b WHERE br IS NOT NULL AND wr IS NOT NULL""")
 def g17(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("event_id % 50 < 3")
     rating = F.when(F.col("value") > 14, 1).when(F.col("value") > 6, 0).otherwise(-1)
-    rows = e.groupBy(F.col("user_id").alias("key")).agg(F.array(F.collect_list(F.struct(F.col("event_id").cast("string").alias("text"), rating.alias("rating")))).alias("completions"))
+    c = t(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.struct(rating.alias("rating"), F.col("event_id").cast("string").alias("text")).alias("c"))
+    # a user's best and worst stand for all completions, which a group need not hold
+    ends = c.groupBy("key").agg(F.max(F.when(F.col("c.rating") >= 0, F.col("c"))).alias("best"), F.min(F.when(F.col("c.rating") < 0, F.col("c"))).alias("worst"))
+    rows = ends.select("key", F.array(F.array_compact(F.array("best", "worst"))).alias("completions"))
     return pr.rated_pairs(rows).select("key", "step", "confidence")
 
 

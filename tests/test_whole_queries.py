@@ -50,3 +50,19 @@ def test_g8_leaves_no_document_out(spark):
         assert abs(r.confidence - max(0.74 - 0.04 * min(k - 1 - r.good, 4) - 0.03 * min(r.bad - k, 4), 0.55)) < 1e-9
         got.setdefault(r.key, []).append((r.good, r.bad))
     assert got == want and any(len(p) == 6 for p in got.values())
+
+
+def test_g17_rates_every_event(spark, tmp_path):
+    values = {1: [20.0, 1.0], 2: [8.0, 0.5], 3: [20.0, 16.0], 4: [1.0], 5: [15.0, *([7.0] * 150), 2.0]}
+    rows = [(i, u, v) for i, (u, v) in enumerate(((u, v) for u, own in values.items() for v in own), 7)]
+    sf = written(spark, tmp_path, "events", rows, "event_id long, user_id long, value double")
+    got = {(r.key, r.step, r.confidence) for r in QUERIES["g17_rated_pairs"](spark, sf).collect()}
+    assert got == {(1, 0, 0.78), (2, 0, 0.70), (5, 0, 0.78)}
+
+
+def test_g17_matches_brute_force(spark):
+    own = {}
+    for e in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "value").collect():
+        own.setdefault(e.user_id, []).append(1 if e.value > 14 else 0 if e.value > 6 else -1)
+    want = {u: 0.78 if max(r) == 1 else 0.70 for u, r in own.items() if max(r) >= 0 and min(r) < 0}
+    assert {r.key: r.confidence for r in QUERIES["g17_rated_pairs"](spark, SF).collect()} == want
