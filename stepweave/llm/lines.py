@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import common_prefix
 from .shared import linked_components, settled
 
 EDITS = 2
@@ -51,12 +52,6 @@ def entries(lines: DataFrame, edits: int) -> DataFrame:
     return inside.select("node", F.xxhash64("i", "rest", F.expr("substring(line, at + 1, size)")).alias("bucket"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
-def common_prefix(a: Column, b: Column, most: int = 1 << 20) -> Column:
-    """Number of code points that two strings begin with alike (a power-of-two search; a lower bound beyond ``most``)."""
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda p, k: F.when((F.length(a) >= p + k) & (F.substring(a, p + 1, k) == F.substring(b, p + 1, k)), p + k).otherwise(p))
-
-
 def edit_distance(a: Column, b: Column, most: int) -> Column:
     """Edit distance of arrays of characters if it is at most ``most``, else a number above it.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import common_prefix
 from ..operators import curation as cu
 from .registry import d_pairs, d_predictions, d_steps, d_traces, query, t
 from .trace_queries import rounded
@@ -236,7 +237,7 @@ def w14(spark, sf_dir):
 @query("w1_g3_prefixes", "SELECT doc_id, step, sha256(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY step)) AS prefix_sha, CAST(length(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY step)) AS INTEGER) AS prefix_chars FROM d_steps WHERE step < 12")
 def w1(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
-    kept = F.slice(F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) > 0), 1, 12)
+    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     rows = docs.select("doc_id", kept.alias("k")).where(F.size("k") > 0).select("doc_id", "k", F.explode(F.sequence(F.lit(0), F.size("k") - 1)).alias("step"))
     prefix = F.array_join(F.slice("k", F.lit(1), F.col("step") + 1), "\n")
     return rows.select("doc_id", "step", F.sha2(prefix, 256).alias("prefix_sha"), F.length(prefix).alias("prefix_chars"))
@@ -245,9 +246,8 @@ def w1(spark, sf_dir):
 @query("w20_first_difference", """SELECT a.doc_id, a.step, CAST(min(CASE WHEN substr(a.line, i, 1) <> substr(b.line, i, 1) THEN i END) AS INTEGER) AS first_difference FROM d_steps a JOIN d_steps b ON a.doc_id = b.doc_id AND b.step = a.step + 1, generate_series(1, 12) AS s(i) GROUP BY a.doc_id, a.step""")
 def w20(spark, sf_dir):
     p = d_pairs(spark, sf_dir)
-    places = F.sequence(F.lit(1), F.lit(12))
-    first = F.get(F.filter(places, lambda i: F.col("chosen_text").substr(i, F.lit(1)) != F.col("rejected_text").substr(i, F.lit(1))), F.lit(0))
-    return p.select("doc_id", "step", first.alias("first_difference"))
+    a, b = F.col("chosen_text"), F.col("rejected_text")
+    return p.select("doc_id", "step", F.when(a != b, common_prefix(a, b) + 1).alias("first_difference"))
 
 
 @query("p1_p2_prompts", r"""SELECT doc_id, step, '[SYSTEM]' || chr(10) || 'Be exact.' || chr(10) || chr(10) || '[USER]' || chr(10) || 'Q: ' || line || chr(10) || chr(10) || '[ASSISTANT]' || chr(10) AS prompt_text, CASE WHEN step % 2 = 0 THEN line || chr(10) || 'Answer: yes' ELSE 'Answer: yes' END AS target_text FROM d_steps""")
@@ -294,7 +294,7 @@ def j8(spark, sf_dir):
 @query("g9_nearest_negative", """WITH s AS (SELECT doc_id, step, step % 4 = 3 AS neg FROM d_steps WHERE step < 40)
 SELECT p.doc_id, p.step AS positive, arg_min(n.step, abs(n.step - p.step) * 1000 + n.step) AS negative FROM s p JOIN s n ON p.doc_id = n.doc_id AND NOT p.neg AND n.neg GROUP BY p.doc_id, p.step""")
 def g9(spark, sf_dir):
-    s = d_steps(spark, sf_dir).where("step < 40").groupBy("doc_id").agg(F.max("step").alias("last"))
+    s = d_steps(spark, sf_dir).groupBy("doc_id").agg(F.max("step").alias("last"))
     steps = F.sequence(F.lit(0), F.col("last"))
     neg = F.filter(steps, lambda i: i % 4 == 3)
     rows = s.select("doc_id", neg.alias("neg"), F.explode(F.filter(steps, lambda i: i % 4 != 3)).alias("positive")).where(F.size("neg") > 0)

@@ -66,3 +66,51 @@ def test_g17_matches_brute_force(spark):
         own.setdefault(e.user_id, []).append(1 if e.value > 14 else 0 if e.value > 6 else -1)
     want = {u: 0.78 if max(r) == 1 else 0.70 for u, r in own.items() if max(r) >= 0 and min(r) < 0}
     assert {r.key: r.confidence for r in QUERIES["g17_rated_pairs"](spark, SF).collect()} == want
+
+
+def test_w1_prefixes_of_all_steps(spark):
+    want = {(d, i): "\n".join(s[: i + 1]) for d, s in steps_of(spark).items() for i in range(len(s))}
+    got = {(r.doc_id, r.step): (r.prefix_sha, r.prefix_chars) for r in QUERIES["w1_g3_prefixes"](spark, SF).collect()}
+    assert got == {k: (hashlib.sha256(x.encode()).hexdigest(), len(x)) for k, x in want.items()} and max(i for _, i in got) >= 12
+
+
+def test_w20_compares_whole_lines(spark, tmp_path):
+    own = ["the same beginning, then one", "the same beginning, then two", "the same beginning, then two", "the same beginning, then two and more", "😀" * 40 + "a", "😀" * 40 + "b", "x" * 5000 + "y", "x" * 5000]
+    sf = written(spark, tmp_path, "documents", [(1, "\n".join(own), "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.step: r.first_difference for r in QUERIES["w20_first_difference"](spark, sf).collect()}
+    assert got == {0: 26, 1: None, 2: 29, 3: 1, 4: 41, 5: 1, 6: 5001}
+
+
+def test_w20_matches_brute_force(spark):
+    def first(a, b):
+        return None if a == b else next((i for i, (x, y) in enumerate(zip(a, b, strict=False), 1) if x != y), min(len(a), len(b)) + 1)
+
+    want = {(d, i): first(a, b) for d, s in steps_of(spark).items() for i, (a, b) in enumerate(zip(s, s[1:], strict=False))}
+    assert {(r.doc_id, r.step): r.first_difference for r in QUERIES["w20_first_difference"](spark, SF).collect()} == want
+
+
+def test_g9_has_all_steps(spark):
+    want = {}
+    for d, s in steps_of(spark).items():
+        bad = [i for i in range(len(s)) if i % 4 == 3]
+        want |= {(d, i): min(bad, key=lambda n: (abs(n - i), n)) for i in range(len(s)) if i % 4 != 3 and bad}
+    got = {(r.doc_id, r.positive): r.negative for r in QUERIES["g9_nearest_negative"](spark, SF).collect()}
+    assert got == want and max(i for _, i in got) > 40
+
+
+def test_j19_has_all_steps(spark, tmp_path):
+    number = lambda text: int(hashlib.sha256(text.encode()).hexdigest()[:8], 16)
+    good = [i for i in range(5000) if all(number(f"bad:{i}:{k}") % 7 for k in range(30))]  # few traces of that length are
+    docs = [(i, "\n".join(["line"] * 30)) for i in [*range(30), *good[:9]]]
+    docs = list(dict(docs).items())
+    sf = written(spark, tmp_path, "documents", [(*d, "en", "s") for d in docs], "doc_id long, text string, lang string, source string")
+    at = {}
+    for i, text in docs:
+        n = text.count("\n") + 1
+        wrong = any(number(f"bad:{i}:{k}") % 7 == 0 for k in range(n))
+        for k in range(n):
+            at.setdefault(k, ([], []))[wrong].append(number(f"{i}:{k}"))
+    want = {k: (len(c), len(w), sum(x > y for x in c for y in w) / len(c) / len(w)) for k, (c, w) in at.items() if min(len(c), len(w)) >= 5}
+    assert max(want) == 29
+    got = {r.step: (r.n_correct, r.n_error, r.p_above) for r in QUERIES["j19_stepwise_separation"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-8 for k in want)
