@@ -30,13 +30,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    kept = settled(minhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_k")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_k")))
-    if kept.where("_rows > 1 and _k is not null").isEmpty():
+    """Of each group of near-duplicates the document with the smallest doc_id stays (null last), of several texts under it one.
+
+    A document is a doc_id with a text; rows that agree in both are one, of which one stays.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    known = docs.withColumn("_own", own)
+    kept = minhash.near_duplicates(known.select("_own", "text"), key="_own").where(F.col("_own") == F.col("class_id"))
+    kept = settled(kept.groupBy(F.col("_own").alias("_k")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    out = known.join(kept, F.col("_own") == F.col("_k"))
+    if kept.where("_rows > 1").isEmpty():
         return out.select(*docs.columns)
-    once = out.where("_rows > 1 and _k is not null").dropDuplicates(["doc_id", "text"])  # repeated rows
-    return out.where("_rows = 1 or _k is null").unionByName(once).select(*docs.columns)
+    once = out.where("_rows > 1").dropDuplicates(["_own"])  # repeated rows
+    return out.where("_rows = 1").unionByName(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ component; its first line, by key and then place, stays, the others are repeats.
 
 Defined results. Null text is one empty line. Shorter lines have no edit join: two edits would make most words alike.
 With exact_short a shorter line that is not empty is in a class with its equals, without it none is a repeat. Blanks at
-a line's ends don't count. Rows with one key are one document: each gets the same result. Null keys come first. Extra columns stay.
-Lines are known by a 64-bit hash.
+a line's ends don't count. Rows with one key and one text are one document: each gets the same result; texts of one key
+(or of none) are different documents, in the order of their hashes. Null keys come first. Extra columns stay. Lines, and
+texts of one key, are known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ LETTERS = ("eE", "aA", "nN", "iI", "tT", "oO", "rR", "sS", "hH", "lL", "dD", "uU
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no (from 0), line."""
-    return docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    """key, doc (hash of the text), line_no (from 0), line."""
+    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
 def entries(lines: DataFrame, edits: int) -> DataFrame:
@@ -152,24 +153,29 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     return linked_components(rows, verify, across, "lines")
 
 
-def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
-    """Every line of docs: key, line_no, class_id (hash of a line of the class; null for one in no class), class_lines (lines of that class), kept."""
+def judged(docs: DataFrame, key: str, text: str, edits: int, min_chars: int, exact_short: bool) -> DataFrame:
+    """Every line of docs: key, doc (hash of its text), line_no, class_id, class_lines, kept."""
     classes = line_classes(docs, key, text, edits, min_chars)
     least = 1 if exact_short else min_chars
-    lines = split_lines(docs, key, text).select("key", "line_no", F.when(F.length("line") >= least, F.xxhash64("line")).alias("node"))
-    placed = lines.join(classes, "node", "left").select("key", "line_no", F.coalesce("component", "node").alias("class_id"))
+    lines = split_lines(docs, key, text).select("key", "doc", "line_no", F.when(F.length("line") >= least, F.xxhash64("line")).alias("node"))
+    placed = lines.join(classes, "node", "left").select("key", "doc", "line_no", F.coalesce("component", "node").alias("class_id"))
     placed = settled(placed, "lines")
-    firsts = placed.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("class_lines"))
+    firsts = placed.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("key", "doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("class_lines"))
     out = placed.join(firsts, "class_id", "left")
-    kept = F.col("class_id").isNull() | (F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.line_no") == F.col("line_no")))
-    return out.select(F.col("key").alias(key), "line_no", "class_id", F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), kept.alias("kept"))
+    kept = F.col("class_id").isNull() | (F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.doc") == F.col("doc")) & (F.col("first.line_no") == F.col("line_no")))
+    return out.select("key", "doc", "line_no", "class_id", F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), kept.alias("kept"))
+
+
+def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
+    """Every line of docs: key, line_no, class_id (hash of a line of the class; null for one in no class), class_lines (lines of that class), kept."""
+    return judged(docs, key, text, edits, min_chars, exact_short).drop("doc").withColumnRenamed("key", key)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """docs without repeated lines; a document of which nothing is left goes, one that had no line to lose stays."""
-    repeats = judge_lines(docs, key, text, edits, min_chars, exact_short).where("not kept").groupBy(F.col(key).alias("_k")).agg(F.collect_set("line_no").alias("_gone"))
+    repeats = judged(docs, key, text, edits, min_chars, exact_short).where("not kept").groupBy(F.col("key").alias("_k"), F.col("doc").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = docs.join(repeats, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn(text, new)
+    out = docs.join(repeats, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_doc")), "left").withColumn(text, new)
     return out.where(F.col("_gone").isNull() | (F.length(text) > 0)).select(*docs.columns)

@@ -27,3 +27,21 @@ def test_run(spark):
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     used = out.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in used) <= 1024
+
+
+def test_texts_of_one_key_are_documents_of_their_own(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = "this line is long enough to be a repeat", "quite another line that only one text has", "and a third one, of the last text with a key"
+    rows = [(None, f"{a}\nzz", "en", "s", 0), (None, f"{b}\n{a}", "en", "s", 0), (7, f"{a}\n{c}", "en", "s", 0), (7, "only here, under a key that is used twice", "en", "s", 0)]
+    out = [r.text for r in P.dedup_lines(spark, spark.createDataFrame(rows, kind), "").collect()]
+    held = "\n".join(out).split("\n")
+    assert sorted(held) == sorted([a, "zz", b, c, rows[3][1]])  # each once, and the unique ones all there
+
+    words = [f"w{i}" for i in range(120)]
+    near = " ".join(words)
+    other = " ".join(reversed(words))
+    alone = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, near), (None, f"{near} x"), (None, f"{near} y"), (None, alone), (None, alone), (3, f"{other} x"), (3, f"{other} y"), (3, f"{other} y"), (3, "another text under key three"), (4, other), (None, f"{other} z")]
+    out = P.dedup_documents(spark, spark.createDataFrame([(*r, "en", "s", 0) for r in rows], kind), "")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text[:7]) for r in out.collect())
+    assert got == [(False, 3, "another"), (False, 3, other[:7]), (True, 0, "v0 v1 v"), (True, 0, "w0 w1 w")]
