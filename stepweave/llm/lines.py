@@ -3,9 +3,9 @@
 Two lines of at least MIN_CHARS code points within EDITS edits are alike. Each distinct line is cut into EDITS + 1 even
 segments; of two such lines, the longer one holds a segment of the shorter one unchanged, at a place that the edits
 before and behind it bound. So a line is put under its own segments (its length, the segment's number and text) and, for
-each length up to EDITS less, under the substrings of its own that could be such a segment; lines that share an entry are
-compared by a banded bit-parallel edit distance, in the way that shared.linked_components orders. A class is a connected
-component; its first line, by key and then place, stays, the others are repeats.
+each length up to EDITS less, under the substrings of its own that could be such a segment; any two lines that share an
+entry are compared once by a banded bit-parallel edit distance. A line's links are the other lines that it is alike with,
+each copy counted. A class is a connected component; its first line, by key and then place, stays, the others are repeats.
 
 Defined results. Null text is one empty line. Shorter lines have no edit join: two edits would make most words alike.
 With exact_short a shorter line that is not empty is in a class with its equals, without it none is a repeat. Blanks at
@@ -21,12 +21,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix
-from .shared import linked_components, settled
+from .shared import components, settled
 
 EDITS = 2
 MIN_CHARS = 24
 #: Bits of the filter that keeps most lines out of the shuffle for texts: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
+#: Lines of an entry that are compared with each other in one go.
+BLOCK_NODES = 256
 #: Letters whose counts rule pairs out: an edit changes the sum of their differences by two at most.
 LETTERS = ("eE", "aA", "nN", "iI", "tT", "oO", "rR", "sS", "hH", "lL", "dD", "uU")
 
@@ -121,8 +123,22 @@ def alike(a: Column, b: Column, edits: int) -> Column:
     return F.get(F.transform(rest, lambda x: edit_distance(x["a"], x["b"], edits)), 0) <= edits
 
 
+def meet(rows: DataFrame, block: int = BLOCK_NODES) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a bucket (rows: bucket, node), each once.
+
+    A bucket is dealt out in blocks, so that a large one is several tasks; of its blocks only one holds both of a pair.
+    """
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = rows.join(blocks, "bucket").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_i": F.least("_own", "_with"), "_j": F.greatest("_own", "_with")})
+    f, o = dealt.alias("f"), dealt.alias("o")
+    same = (F.col("f.bucket") == F.col("o.bucket")) & (F.col("f._i") == F.col("o._i")) & (F.col("f._j") == F.col("o._j"))
+    once = (F.col("f.node") < F.col("o.node")) & ((F.col("f._i") == F.col("f._j")) | (F.col("f._own") != F.col("o._own")))
+    return f.join(o, same & once).select(F.col("f.node").alias("a"), F.col("o.node").alias("b")).distinct()
+
+
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """node (hash of a line), component (the smallest node of its class); lines that are like no other text are absent."""
+    """node (hash of a line), component (the smallest node of its class), n_links; lines that are like no other text are absent."""
     if min_chars <= edits:
         raise ValueError("lines must be longer than the number of edits")
     lines = split_lines(docs, key, text).where(F.length("line") >= min_chars)
@@ -133,41 +149,36 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     rows = settled(held.where("low < high and own").select("bucket", "node").distinct(), "line-entries")
     wanted = rows.select("node").distinct()
     counts = [(F.length("line") - F.length(F.translate("line", pair, ""))).alias(f"n{i}") for i, pair in enumerate(LETTERS)]
-    texts = possibly(lines.select(F.xxhash64("line").alias("node"), "line"), wanted).join(wanted, "node").dropDuplicates(["node"])  # no semi-join: that would be moved below the filter
-    texts = settled(texts.select("node", "line", F.length("line").alias("n"), *counts), "line-texts")
-
-    def near(f: str, o: str) -> Column:
-        apart = sum((F.abs(F.col(f"{f}.n{i}") - F.col(f"{o}.n{i}")) for i in range(len(LETTERS))), F.lit(0))
-        return (F.abs(F.col(f"{f}.n") - F.col(f"{o}.n")) <= edits) & (apart <= 2 * edits)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        f, o = texts.withColumnRenamed("node", "a").alias("f"), texts.withColumnRenamed("node", "b").alias("o")
-        both = pairs.join(f, "a").join(o, "b").where(near("f", "o"))
-        return both.where(alike(F.col("f.line"), F.col("o.line"), edits)).select("a", "b")
-
-    def across(apart: DataFrame, others: DataFrame, on: Column) -> DataFrame:
-        # the test stands in the join's condition, so that only links leave the join
-        f, o = apart.join(texts, "node").alias("f"), others.join(texts, "node").alias("o")
-        return f.join(o, on & near("f", "o") & alike(F.col("f.line"), F.col("o.line"), edits)).select(F.col("f.node").alias("a"), F.col("o.node").alias("b")).distinct()
-
-    return linked_components(rows, verify, across, "lines")
+    texts = possibly(lines.select(F.xxhash64("line").alias("node"), "line"), wanted).join(wanted, "node").groupBy("node").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))  # no semi-join: that would be moved below the filter
+    texts = settled(texts.select("node", "line", "copies", F.length("line").alias("n"), *counts), "line-texts")
+    apart = sum((F.abs(F.col(f"f.n{i}") - F.col(f"o.n{i}")) for i in range(len(LETTERS))), F.lit(0))
+    near = (F.abs(F.col("f.n") - F.col("o.n")) <= edits) & (apart <= 2 * edits)
+    f, o = texts.withColumnRenamed("node", "a").alias("f"), texts.withColumnRenamed("node", "b").alias("o")
+    both = meet(rows).join(f, "a").join(o, "b").where(near)
+    links = settled(both.where(alike(F.col("f.line"), F.col("o.line"), edits)).select("a", "b"), "line-links")
+    copies = texts.select("node", "copies")
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    part = components(links, "lines")
+    return settled(part.join(others, "node").join(copies, "node").select("node", "component", (F.col("others") + F.col("copies") - 1).alias("n_links")), "line-classes")
 
 
 def judged(docs: DataFrame, key: str, text: str, edits: int, min_chars: int, exact_short: bool) -> DataFrame:
-    """Every line of docs: key, doc (hash of its text), line_no, class_id, class_lines, kept."""
+    """Every line of docs: key, doc (hash of its text), line_no, class_id, class_lines, n_links, kept."""
     classes = line_classes(docs, key, text, edits, min_chars)
     least = 1 if exact_short else min_chars
     lines = split_lines(docs, key, text).select("key", "doc", "line_no", F.when(F.length("line") >= least, F.xxhash64("line")).alias("node"))
-    placed = lines.join(classes, "node", "left").select("key", "doc", "line_no", F.coalesce("component", "node").alias("class_id"))
+    placed = lines.join(classes, "node", "left").select("key", "doc", "line_no", F.coalesce("component", "node").alias("class_id"), "n_links")
     placed = settled(placed, "lines")
     firsts = placed.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("key", "doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("class_lines"))
     out = placed.join(firsts, "class_id", "left")
     kept = F.col("class_id").isNull() | (F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.doc") == F.col("doc")) & (F.col("first.line_no") == F.col("line_no")))
-    return out.select("key", "doc", "line_no", "class_id", F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), kept.alias("kept"))
+    links = F.coalesce("n_links", F.col("class_lines") - 1, F.lit(0)).cast("long")  # a line that is like no other text has its copies
+    return out.select("key", "doc", "line_no", "class_id", F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), links.alias("n_links"), kept.alias("kept"))
 
 
 def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
-    """Every line of docs: key, line_no, class_id (hash of a line of the class; null for one in no class), class_lines (lines of that class), kept."""
+    """Every line of docs: key, line_no, class_id (hash of a line of the class; null for one in no class), class_lines (lines of that class), n_links (other lines that it is alike with, copies counted), kept."""
     return judged(docs, key, text, edits, min_chars, exact_short).drop("doc").withColumnRenamed("key", key)
 
 

@@ -105,3 +105,30 @@ def test_query_and_stage_class_short_lines(spark, tmp_path):
     assert got[1, 1].class_id is None and got[2, 1].kept and len({r.class_id for r in got.values()}) == 5
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
     assert {(r.doc_id, r.text, r.n_chars) for r in P.dedup_lines(spark, docs, "").collect()} == {(1, rows[0][1], 21), (2, "\nno", 3)}
+
+
+def test_links_of_every_line(spark, tmp_path):
+    from stepweave.llm.queries import op5_lines
+
+    random.seed(6)
+    hot = "the same line that many documents repeat, but for a letter"
+    made = [edited(hot, random.randint(0, 3), "yzxw") for _ in range(60)] + ["".join(random.choice("abc ") for _ in range(24)) + "!" for _ in range(20)] + [hot] * 5 + ["short"] * 3 + [""]
+    random.shuffle(made)
+    docs = [(i, "\n".join(made[i::9])) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {(i, n): line.strip(" ") for i, t in docs for n, line in enumerate(t.split("\n"))}
+
+    def linked(a, b):
+        return a == b != "" if min(len(a), len(b)) < L.MIN_CHARS else abs(len(a) - len(b)) <= L.EDITS and distance(a, b) <= L.EDITS
+
+    texts = sorted(set(lines.values()))
+    of = {t: {u for u in texts if linked(t, u)} for t in texts}
+    want = {k: sum(x in of[t] for x in lines.values()) - (t != "") for k, t in lines.items()}
+    assert {(r.doc_id, r.line_no): r.n_links for r in op5_lines(spark, str(tmp_path)).collect()} == want
+
+
+def test_blocks_of_a_bucket_hold_each_pair_once(spark):
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    rows = nodes.selectExpr("explode(array(7L, 9L)) as bucket", "node").unionAll(nodes.where("node < 20").selectExpr("3L as bucket", "node"))
+    pairs = [(r.a, r.b) for r in L.meet(rows, block=6).collect()]
+    assert len(pairs) == 40 * 39 // 2 and set(pairs) == set(itertools.combinations(range(40), 2))
