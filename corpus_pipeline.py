@@ -56,7 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", identify_language), ("lines", dedup_lines), ("near_duplicates", dedup_documents), ("mixing", mix_sources), ("packing", pack)]
-#: Learned scores, edit distances and token ids have no SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: Learned scores, edit distances and token ids have no SQL; tests/llm/test_pipeline.py tests the stages. No test holds run() against brute force yet.
 ORACLE_SQL = None
 
 
