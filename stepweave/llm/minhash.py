@@ -91,7 +91,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
         ok = at < last
         h = h * U(0xD6E8FEB86659FD93) + np.where(ok, words[np.minimum(at, max(len(words) - 1, 0))] if len(words) else U(0), U(0))
     h = mix(h) >> U(16)
-    if len(texts) >= 1 << 16:
+    if len(texts) >= 1 << 16:  # slices() gives half as many at most
         raise ValueError("at most 65535 texts at once")
     both = np.sort((text.astype(np.uint64) << U(48)) | h)
     new = np.concatenate(([True], both[1:] != both[:-1])) if len(both) else np.zeros(0, bool)
