@@ -6,14 +6,17 @@ only if its complement stands within SCOPE code points of it: an account name or
 identifier), an address needs both. Parts meet in an interval join over cells of that size, so no part is compared with
 another beyond the two neighbouring cells.
 
-Defined results. Null text is empty; a row without a match gets empty spans. Repeated rows get the same result each, null
-keys are kept, other columns are not read. Spans are code points, end exclusive. Weak parts that overlap a base span are
-dropped. Letters of key words match in either case as ASCII letters.
+The work grows in line with a text: places come from prefix sums in levels of LEVEL, and parts are only compared within
+cells. A text is one record and its spans are held together.
+
+Defined results. Null text is empty; a row without a match gets empty spans, an empty table no rows. Repeated rows get the
+same result each, null keys are kept, other columns are not read (so none can clash). Spans are code points, end exclusive.
+Weak parts that overlap a base span are dropped, and are nobody's complement. Letters of key words match in either case as
+ASCII letters.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +32,59 @@ BLOB = r"[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"""(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp|s3)://[^\s"'<>]+"""
 #: Most code points between two parts of one credential.
 SCOPE = 400
+#: Numbers that are summed in one go.
+LEVEL = 64
+
+
+def _let(value: Column, f) -> Column:
+    """f of value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _total(numbers: Column, start: Column | int, length: Column | int) -> Column:
+    start, length = (x if isinstance(x, Column) else F.lit(x) for x in (start, length))
+    return F.aggregate(F.slice(numbers, start + 1, length), F.lit(0), lambda a, x: a + x)
+
+
+def _sums(numbers: Column) -> Column:
+    """Sums of each LEVEL numbers."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / LEVEL).cast("int")), lambda c: _total(numbers, c * LEVEL, LEVEL))
+
+
+def before_each(numbers: Column, f) -> Column:
+    """array of f(i, sum of the numbers before place i) of an array that is not empty: sums of sums, LEVEL at each of three levels (slices of the last one grow with its length, a LEVEL ** 2-th)."""
+
+    def at(one: Column, two: Column, two_before: Column) -> Column:
+        def place(i: Column) -> Column:
+            c, d = F.floor(i / LEVEL).cast("int"), F.floor(i / (LEVEL * LEVEL)).cast("int")
+            return F.get(two_before, d) + _total(one, d * LEVEL, c - d * LEVEL) + _total(numbers, c * LEVEL, i - c * LEVEL)
+
+        return F.transform(numbers, lambda _, i: f(i, place(i)))
+
+    def second(one: Column, two: Column) -> Column:
+        before = F.transform(two, lambda _, d: _total(two, 0, d))
+        return _let(before, lambda b: at(one, two, b))
+
+    return _let(_sums(numbers), lambda one: _let(_sums(one), lambda two: second(one, two)))
 
 
 def spans(text: Column, pattern: str, guard: str, kind: int, keep=None) -> Column:
     """array<struct<start, end, kind>> of the leftmost non-overlapping matches that keep(match) accepts; guard: a pattern found wherever one of those is."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    sizes = F.transform(found, lambda m: F.length(m))
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
 
-    def total(lengths: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(lengths, 1, n), F.lit(0), lambda a, x: a + x)
+    def of(x: Column) -> Column:
+        sizes = F.transform(x["found"], lambda m, i: F.length(F.get(x["gaps"], i)) + F.length(m))
 
-    def span(m: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(sizes, i)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), (keep(m) if keep else F.lit(True)).alias("keep"))
+        def span(i: Column, before: Column) -> Column:
+            m, start = F.get(x["found"], i), before + F.length(F.get(x["gaps"], i))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), (keep(m) if keep else F.lit(True)).alias("keep"))
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    kept = F.transform(F.filter(F.transform(found, span), lambda s: s["keep"]), lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    return F.when(text.rlike(guard), kept).otherwise(none)
+        made = _let(sizes, lambda s: before_each(s, span))
+        kept = F.transform(F.filter(made, lambda s: s["keep"]), lambda s: F.struct(s["start"], s["end"], s["kind"]))
+        return F.when(F.size(x["found"]) > 0, kept).otherwise(none)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(guard), _let(both, of)).otherwise(none)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,25 +105,31 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def link(scanned: DataFrame, key: str = "doc_id", scope: int = SCOPE) -> DataFrame:
     """scanned (a table that is cheap to read twice) with linked: the weak parts whose complements are within scope."""
-    some = scanned.where(F.size("weak") > 0).select(key, "text_hash", "base", "weak").distinct()
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    parts = some.select(key, "text_hash", F.explode(F.concat("base", clear)).alias("p")).select(key, "text_hash", "p.*")
+    some = scanned.where(F.size("weak") > 0).select(F.col(key).alias("k"), "text_hash", "base", "weak").distinct()
+    parts = some.select("k", "text_hash", F.explode(F.concat("base", "weak")).alias("p")).select("k", "text_hash", "p.*")
 
     def cells(before: int, after: int) -> Column:
         return F.explode(F.sequence(F.floor((F.col("start") - before) / scope), F.floor((F.col("end") + after) / scope))).alias("cell")
 
+    def meet(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
+        """a joined to the parts of b that begin at most reach behind it and end at most reach before it; a reaches over its cells."""
+        a = a.select("k", "text_hash", "start", "end", "kind", cells(reach, reach)).alias("a")
+        b = b.select("k", "text_hash", "start", "end", "kind", cells(0, 0)).alias("b")
+        near = (F.col("b.start") - reach < F.col("a.end") + (1 if reach else 0)) & (F.col("b.end") + reach > F.col("a.start") - (1 if reach else 0))
+        on = F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.cell") == F.col("b.cell")) & near
+        return a.join(b, on)
+
     # user and access are identifiers, assign, hex and blob secrets
     sort = F.when(F.col("kind").isin(1, 3), "i").when(F.col("kind").isin(0, 2, 4), "s").otherwise("e")
-    w = parts.where("kind >= 3").select(key, "text_hash", F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.col("kind").alias("w_kind"), cells(scope, scope))
-    other = parts.select(key, "text_hash", sort.alias("sort"), "start", "end", cells(0, 0))
-    a, b = w.alias("a"), other.alias("b")
-    near = (F.col("b.start") <= F.col("a.w_end") + scope) & (F.col("b.end") >= F.col("a.w_start") - scope)
-    on = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.cell") == F.col("b.cell")) & near
-    pairs = a.join(b, on).select(f"a.{key}", "a.text_hash", "w_start", "w_end", "w_kind", "sort")
-    has = pairs.groupBy(key, "text_hash", "w_start", "w_end", "w_kind").agg(*(F.max(F.when(F.col("sort") == s, 1).otherwise(0)).alias(s) for s in "is"))
+    own = ["k", "text_hash", "start", "end", "kind"]
+    weak, base = parts.where("kind >= 3"), parts.where("kind < 3")
+    hidden = meet(weak, base, 0).select(*(F.col(f"a.{c}").alias(f"_{c}") for c in own)).distinct()
+    clear = settled(weak.join(hidden, F.col("k").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("start") == F.col("_start")) & (F.col("kind") == F.col("_kind")), "left_anti"), "secret-parts")
+    pairs = meet(clear, base.unionByName(clear), scope).select(*(F.col(f"a.{c}") for c in own), F.col("b.kind").alias("other")).withColumnRenamed("kind", "w_kind").withColumn("kind", F.col("other"))
+    has = pairs.groupBy("k", "text_hash", "start", "end", "w_kind").agg(*(F.max(F.when(sort == s, 1).otherwise(0)).alias(s) for s in "is"))
     good = has.where(((F.col("w_kind") == 3) & (F.col("s") == 1)) | ((F.col("w_kind") == 4) & (F.col("i") == 1)) | ((F.col("w_kind") == 5) & (F.col("i") == 1) & (F.col("s") == 1)))
-    linked = good.groupBy(key, "text_hash").agg(F.array_sort(F.collect_list(F.struct(F.col("w_start").alias("start"), F.col("w_end").alias("end"), F.col("w_kind").alias("kind")))).alias("linked"))
-    r = linked.select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"), "linked")
+    linked = good.groupBy("k", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("w_kind").alias("kind")))).alias("linked"))
+    r = linked.select(F.col("k").alias("_k"), F.col("text_hash").alias("_h"), "linked")
     return scanned.drop("weak").join(r, F.col(key).eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")), "left").drop("_k", "_h")
 
 
