@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import io
 import zlib
 
 import numpy as np
@@ -32,12 +33,40 @@ def test_perfect_hash_is_minimal():
 def test_shard_answers_by_key():
     keys = np.array([-5, 3, 3, 9], dtype=np.int64)
     parts = [np.arange(n, dtype="<u2").tobytes() for n in (2, 3, 0, 4)]
-    s = idfile.Shard(idfile.pack_shard(keys, parts, np.dtype("<u2")))
-    first, times = s.find(np.array([3, 9, -5, 4, 10**12]))
-    assert first.tolist()[:3] == [1, 3, 0] and times.tolist()[:3] == [2, 1, 1]
-    assert s.get(1).tolist() == [0, 1, 2] and s.get(3).tolist() == [0, 1, 2, 3]
-    misses = s.find(np.arange(1000, 30_000))[0]
-    assert (misses >= 0).sum() == 0
+    raw, before = idfile.pack_shard(keys, parts, np.dtype("<u2"))
+    for whole in (False, True):  # by ranged reads, and with the index at once
+        s = idfile.Shard(io.BytesIO(raw))
+        if whole:
+            s.load(zlib.crc32(raw[:before]))
+        first, times = s.find(np.array([3, 9, -5, 4, 10**12]))
+        assert first.tolist()[:3] == [1, 3, 0] and times.tolist()[:3] == [2, 1, 1]
+        assert [(a, x.tolist()) for a, x in s.get(1, 2)] == [(2, [0, 1, 2]), (5, [])] and [x.tolist() for _, x in s.get(3)] == [[0, 1, 2, 3]]
+        assert (s.find(np.arange(1000, 3000))[0] >= 0).sum() == 0
+    damaged = bytearray(raw)
+    damaged[-1] ^= 1
+    with pytest.raises(OSError):
+        list(idfile.Shard(io.BytesIO(bytes(damaged))).get(3))
+
+
+def test_one_key_is_found_by_few_reads():
+    class Counted(io.BytesIO):
+        reads = taken = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.reads, self.taken = self.reads + 1, self.taken + len(got)
+            return got
+
+    keys = np.arange(0, 60_000, 3, dtype=np.int64)
+    raw, _ = idfile.pack_shard(keys, [np.full(50, k % 1000, "<u2").tobytes() for k in keys], np.dtype("<u2"))
+    source = Counted(raw)
+    s = idfile.Shard(source)
+    source.reads = source.taken = 0
+    asked = keys[::400]
+    for k in asked:
+        first, times = s.find(np.array([k]))
+        assert [x.tolist() for _, x in s.get(int(first[0]), int(times[0]))] == [[k % 1000] * 50]
+    assert source.reads < 8 * len(asked) and source.taken < 400 * len(asked) < len(raw)
 
 
 ROWS = [(7, "Hello there, world."), (3, None), (None, "no key"), (9, "x " * 5000), (3, "again"), (1, ""), (7, "Hello there, world.")]
@@ -64,6 +93,19 @@ def test_ids_round_trip(spark):
     assert idfile.look_up(empty, docs).count() == 0
 
 
+def test_a_key_of_many_rows_fills_many_shards(spark):
+    path = tokenizer(WORD_TOKENIZER)
+    rows = [(None, f"some words and number {i % 40}") for i in range(400)] + [(1, "one"), (-7, "minus seven"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = idfile.write_ids(docs, path, 2, shards=4, shard_bytes=400)
+    shards = manifest.orderBy("shard").collect()
+    assert sum(r.n_docs for r in shards) == len(rows) and sum(r.first_key == idfile.NULL_KEY for r in shards) > 8
+    assert [(r.first_key, r.last_key) for r in shards] == sorted((r.first_key, r.last_key) for r in shards)
+    got = idfile.look_up(manifest, docs).orderBy("start").collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got] == [None] * 400 + [-7, 1, 2]
+    assert got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def test_sum_of_squares_against_a_plain_version():
     rng = np.random.default_rng(3)
     lengths = np.sort(rng.integers(1, 65, 300))[::-1]
@@ -114,3 +156,19 @@ def test_packing(spark):
     least = -(-sum(r.length for r in got) // 256)
     assert len(by_sequence) <= least * 1.02 + 2
     assert packing.pack_documents(docs.limit(0), path, 2).count() == 0
+
+
+def test_equal_rows_are_dealt_over_all_blocks(spark):
+    docs = spark.createDataFrame([(None, "the same few words")] * 400, "doc_id long, text string")
+    pieces = packing.token_pieces(docs, tokenizer(BYTE_TOKENIZER), 2, capacity=64).selectExpr("*", "monotonically_increasing_id() as row")
+    got = packing.pack(pieces, 64, block=50).collect()
+    assert len(got) == 400 and len({r.sequence_id >> 32 for r in got}) >= 6
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
