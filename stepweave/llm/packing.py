@@ -1,14 +1,15 @@
 """Sum-of-squares packing of token sequences.
 
 Each document becomes pieces of at most ``capacity`` ids: full ones, and, first, the rest. A full piece is a sequence of
-its own. The rests are dealt by a hash of their keys into blocks of about ``BLOCK`` and packed block by block: longest
+its own. The rests are dealt by a hash of their keys and place into blocks of about ``BLOCK`` and packed block by block: longest
 first, each into an open sequence with room so that the sum over residual gaps of the squared count of open sequences
 with that gap becomes smallest (ties: the tightest gap); a new sequence opens only if none has room. A block's state is
 one counter and one stack for each gap, so memory is bounded by the block; more documents make more blocks.
 
-Defined results. Null text counts as empty: one piece with the end id alone. A repeated row is packed again. Null keys
-are kept. Columns of documents beyond key and text are not read. An empty table gives no rows. Among pieces of one
-length the smaller (key, piece) comes first.
+Defined results. Null text counts as empty: one piece with the end id alone. A repeated row is packed again; however often
+one is there, its rests are dealt over all blocks. Null keys are kept. Columns of documents beyond key and text are not
+read, those of pieces stay (sequence_id, offset and row are replaced). An empty table gives no rows. Among pieces of one
+length in a block the smaller (key, piece) comes first. A text is encoded whole: one text is one record.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import map_batches, settled, slices, workers_find_package
 from .tokens import encoder
@@ -94,23 +96,25 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, block: int = BLOCK, key: str = "doc_id") -> DataFrame:
-    """pieces (a table that is cheap to read twice) with sequence_id and offset."""
+    """pieces (a table that is cheap to read twice) with sequence_id and offset; a column row, if there, tells equal pieces apart."""
     pieces = pieces.drop("sequence_id", "offset")
+    row = "row" if "row" in pieces.columns else None
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block))
-    schema = rest.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*(f for f in rest.schema if f.name != row), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     by = [c for c in ("length", key, "piece") if c in pieces.columns]
 
     def place(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_block").sort_values(by, ascending=[False, *[True] * (len(by) - 1)], kind="stable")
+        rows = rows.drop(columns=["_block", *[row] * bool(row)]).sort_values(by, ascending=[False, *[True] * (len(by) - 1)], kind="stable")
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(group[0]) << 32) + sequence, offset=offset)
 
     workers_find_package(pieces.sparkSession)
-    dealt = rest.withColumn("_block", F.pmod(F.xxhash64(*by), F.lit(blocks)))
-    return dealt.groupBy("_block").applyInPandas(place, schema).unionByName(full)
+    dealt = rest.withColumn("_block", F.pmod(F.xxhash64(*by, *[row] * bool(row)), F.lit(blocks)))
+    return dealt.groupBy("_block").applyInPandas(place, schema).unionByName(full.drop("row"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    return pack(settled(token_pieces(docs, tokenizer, end_id, capacity, key, text, with_ids), "pieces"), capacity, key=key)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, key, text, with_ids).withColumn("row", F.monotonically_increasing_id())
+    return pack(settled(pieces, "pieces"), capacity, key=key)
