@@ -1,13 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-fit() counts hashed 1- to 3-grams of a bounded, documented sample of labelled rows and returns a matrix of log
-probabilities (buckets x languages). predict() ships that matrix with the task closure (its size is fixed by its
-parameters: buckets x languages x 4 bytes) and scores Arrow batches with numpy, whole texts, sparse: one gather and one
-segmented sum per n-gram order.
+fit() counts hashed 1- to 3-grams of a bounded, documented sample of labelled rows, whole texts, and returns a matrix of
+log probabilities (buckets x languages). predict() broadcasts that matrix (buckets x languages x 4 bytes, MOST_LANGUAGES
+at most) and scores Arrow batches with numpy, whole texts, sparse: one gather and one segmented sum per n-gram order.
+
+The sample: of each label about TRAIN_ROWS rows at most, those whose hash of text and label is below that label's share;
+rows that agree in both count once, so a group of copies, however large, weighs as much as one row.
 
 Defined results. Null text or a text without a letter: language ``und``, score 0. Empty training table: every row is
-``und``. Ties go to the language that sorts first. Null labels are no training rows. Any extra columns stay; the two
-added ones are dropped from the input first if they clash.
+``und``. Ties go to the language that sorts first. Null labels and null texts are no training rows. Repeated rows and null
+keys get a row each. Any extra columns stay; the two added ones are dropped from the input first if they clash.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from .shared import map_batches, slices
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
-#: Labelled rows that fit() learns from, about, at most; and most characters of training text it takes of a row: bounds of the sample.
-TRAIN_ROWS = 20_000
-TRAIN_CHARS = 4_000
+#: Labelled rows of each language that fit() learns from, about, at most: the bound of the sample.
+TRAIN_ROWS = 4_000
+#: A model of more languages (128 KB each) is refused.
+MOST_LANGUAGES = 500
 SMOOTHING = 0.5
 
 
@@ -105,15 +108,19 @@ def count_grams(texts: list[str], bits: int = BUCKET_BITS, orders: tuple[int, ..
     return total
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, bits: int = BUCKET_BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = SMOOTHING) -> Model:
-    """Learns from about ``rows`` labelled rows at most (a share of all by a hash of text and label) and ``chars`` of each.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, bits: int = BUCKET_BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = SMOOTHING) -> Model:
+    """Learns from about ``rows`` labelled rows of each label at most, by a hash of text and label.
 
     The share is taken where the rows are read, so a large table sends no more to the counting tasks than a small one.
     """
-    named = labelled.where(F.col(label).isNotNull())
-    share = min(1.0, rows / max(1, named.count()))
-    kept = named.where(F.col(text).isNotNull()).select(F.substring(text, 1, chars).alias("t"), F.col(label).cast("string").alias("l"))
-    kept = kept.where(F.xxhash64("t", "l") / 2.0**64 + 0.5 <= share)
+    named = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("l"))
+    found = named.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not found:
+        return Model((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits, orders)
+    share = F.element_at(F.create_map(*(F.lit(x) for r in found for x in (r.l, min(1.0, rows / r.n)))), F.col("l"))
+    kept = named.where(F.xxhash64("t", "l") / 2.0**64 + 0.5 <= share).distinct()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -128,7 +135,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int
         for lang in sums:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([docs[lang]], pa.int64()), pa.array([sums[lang].astype("<i8").tobytes()], pa.binary())], ["l", "docs", "counts"])
 
-    found = map_batches(kept.repartition(4), counted, "l string, docs long, counts binary").collect()  # a row for each language and task
+    found = map_batches(kept.repartition(4), counted, "l string, docs long, counts binary").collect()  # a row for each language of the four tasks
     languages = tuple(sorted({r.l for r in found}))
     if not languages:
         return Model((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits, orders)
@@ -171,13 +178,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
     docs = docs.drop(lang_out, score_out)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     at = docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
                 texts = ["" if t is None else t for t in part.column(at).to_pylist()]
-                best, p = score(texts, model)
-                names = pa.array([model.languages[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
+                best, p = score(texts, sent.value)
+                names = pa.array([sent.value.languages[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(p, pa.float64())], names=[*part.schema.names, lang_out, score_out])
 
     return map_batches(docs, scored, schema)
