@@ -1,10 +1,13 @@
 """Media columns: binary Netpbm (P5, P6) and 24-bit or 8-bit BMP, decoded to numpy, area-resized, tiled, hashed.
 
 store() keeps bytes losslessly as the samples of an image; decode() reads any image of these forms; resize() averages
-over exact source areas by an integral image; tile() writes NPY bytes; dhash() is the 64-bit difference hash.
+over exact source areas by an integral image; npy() writes tiles; dhash() is the 64-bit difference hash.
 
 Defined results. Null text is empty: a payload of 192 blanks. Null or malformed media gives null features (read_media) and
-no failure. Widths are fixed, so a very long text makes a tall image; one text is one record and is held whole.
+no failure. Widths are fixed, so a very long text makes a tall image; one text is one record and is held whole. Samples of a
+Netpbm image with a maximum below 255 count as shares of it in features and tiles (its payload stays as stored). Repeated
+rows and null keys get a row each, an empty table no rows. All other columns stay; those that have the names of added ones
+are replaced, and so is the text by the image and the image by its features.
 """
 
 from __future__ import annotations
@@ -48,14 +51,20 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode(raw: bytes) -> np.ndarray:
-    """(h, w) or (h, w, 3) samples; ValueError if it is none of the forms above."""
+    """(h, w) or (h, w, 3) samples from 0 to 255; ValueError if it is none of the forms above."""
+    pixels, most = samples(raw)
+    return pixels if most == 255 else np.rint(np.minimum(pixels, most) * (255.0 / most)).astype(np.uint8)
+
+
+def samples(raw: bytes) -> tuple[np.ndarray, int]:
+    """Samples as they are stored, and the largest that there can be."""
     try:
-        return _decode_bmp(raw) if raw[:2] == b"BM" else _decode_pnm(raw)
+        return (_decode_bmp(raw), 255) if raw[:2] == b"BM" else _decode_pnm(raw)
     except (struct.error, IndexError, OverflowError) as e:
         raise ValueError("malformed image") from e
 
 
-def _decode_pnm(raw: bytes) -> np.ndarray:
+def _decode_pnm(raw: bytes) -> tuple[np.ndarray, int]:
     if raw[:2] not in (b"P5", b"P6"):
         raise ValueError("neither Netpbm nor BMP")
     at, numbers = 2, []
@@ -77,7 +86,7 @@ def _decode_pnm(raw: bytes) -> np.ndarray:
     size = int(np.prod(shape))
     if len(raw) < at + 1 + size:
         raise ValueError("image ends early")
-    return np.frombuffer(raw, np.uint8, size, at + 1).reshape(shape)
+    return np.frombuffer(raw, np.uint8, size, at + 1).reshape(shape), most
 
 
 def _decode_bmp(raw: bytes) -> np.ndarray:
@@ -102,11 +111,17 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return pixels.astype(np.float64) if pixels.ndim == 2 else pixels @ np.array([0.299, 0.587, 0.114])
 
 
-def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact (fractional) source area, through the integral image."""
-    h, w = pixels.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(pixels, axis=0), axis=1, out=total[1:, 1:])
+def integral(pixels: np.ndarray) -> np.ndarray:
+    """Sums of all samples above and left of each corner: (h + 1, w + 1)."""
+    total = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1))
+    np.cumsum(pixels, axis=0, out=total[1:, 1:])
+    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
+    return total
+
+
+def area_means(total: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's exact (fractional) source area, from the integral image."""
+    h, w = total.shape[0] - 1, total.shape[1] - 1
 
     def along(table: np.ndarray, n: int, size: int) -> np.ndarray:
         edge = np.linspace(0, size, n + 1)
@@ -118,21 +133,29 @@ def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.diff(np.diff(cut, axis=0), axis=1) / ((h / height) * (w / width))
 
 
+def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_means(integral(pixels), height, width)
+
+
 def dhash(cells: np.ndarray) -> str:
     """16 hex digits: whether each of 8 x 8 cells is darker than its right neighbour; cells: 8 x 9."""
     bits = cells[:, 1:] > cells[:, :-1] + 1e-9
     return np.packbits(bits.ravel()).tobytes().hex()
 
 
-def tile(pixels: np.ndarray, size: int = 16) -> bytes:
-    """A size x size tile as NPY bytes."""
+def npy(cells: np.ndarray) -> bytes:
+    """Cells of samples as the bytes of an NPY tile."""
     out = io.BytesIO()
-    np.save(out, np.rint(np.clip(resize(grey(pixels), size, size), 0, 255)).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.rint(np.clip(cells, 0, 255)).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
+#: Height and width of a tile.
+TILE = 16
+
+
 def store_text(docs: DataFrame, text: str = "text", form: str = "ppm", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
-    """docs without text, with the stored image and the text's bytes before padding."""
+    """docs without text, with the stored image and the text's bytes before padding (in place of columns of these names)."""
     out = docs.drop(media, n_bytes)
     at = out.columns.index(text)
     schema = T.StructType([*(f for f in out.schema if f.name != text), T.StructField(media, T.BinaryType()), T.StructField(n_bytes, T.LongType())])
@@ -161,12 +184,12 @@ def read_media(images: DataFrame, media: str = "media", tiles: bool = True) -> D
             return (None,) * len(added)
         own = (len(raw), hashlib.sha256(raw).hexdigest())
         try:
-            pixels = decode(raw)
+            pixels, most = samples(raw)
         except ValueError:
             return (None, None, None, *own, None, *[None] * tiles)
         back = pixels.tobytes()
-        cells = resize(grey(pixels), 8, 9)
-        return (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), *own, dhash(cells), *[tile(pixels)] * tiles)
+        total = integral(grey(pixels if most == 255 else decode(raw)))
+        return (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), *own, dhash(area_means(total, 8, 9)), *[npy(area_means(total, TILE, TILE))] * tiles)
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
