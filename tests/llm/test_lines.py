@@ -7,15 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave.llm import lines as L
 
-
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+from brute import distance, find
 
 
 def edited(text, n, letters):
@@ -127,8 +119,38 @@ def test_links_of_every_line(spark, tmp_path):
     assert {(r.doc_id, r.line_no): r.n_links for r in op5_lines(spark, str(tmp_path)).collect()} == want
 
 
-def test_blocks_of_a_bucket_hold_each_pair_once(spark):
-    nodes = spark.range(40).withColumnRenamed("id", "node")
-    rows = nodes.selectExpr("explode(array(7L, 9L)) as bucket", "node").unionAll(nodes.where("node < 20").selectExpr("3L as bucket", "node"))
-    pairs = [(r.a, r.b) for r in L.meet(rows, block=6).collect()]
-    assert len(pairs) == 40 * 39 // 2 and set(pairs) == set(itertools.combinations(range(40), 2))
+def test_blocks_count_each_link_once(spark):
+    random.seed(9)
+    hot = "a line that stands in very many texts with a change or two"
+    texts = sorted({edited(hot, random.randint(0, 3), "yzxw ") for _ in range(70)} | {edited(hot, 1, "é") + "!" for _ in range(10)})
+    lines = spark.createDataFrame([(t,) for t in texts], "line string").selectExpr("xxhash64(line) as node", "line", "length(line) as n")
+    rows = L.entries(lines, L.EDITS).groupBy("bucket", "part", "rest", "node").agg(F.max("own").alias("own"))
+    counts = [(F.length("line") - F.length(F.translate("line", pair, ""))).alias(f"n{i}") for i, pair in enumerate(L.LETTERS)]
+    full = rows.join(lines.select("node", "line", "n", F.lit(1).cast("long").alias("copies"), *counts), "node")
+    node = {r.line: r.node for r in lines.collect()}
+    want = {node[t]: sum(u != t and abs(len(t) - len(u)) <= 2 and distance(t, u) <= 2 for u in texts) for t in texts}
+    for block in (7, 1000):
+        adjacent = L.linked(full, L.EDITS, block).cache()
+        assert {r.node: r.others for r in L.link_counts(adjacent).collect()} == {k: n for k, n in want.items() if n}
+        parent = {n: n for n in want}
+        for r in L.link_edges(adjacent).collect():
+            a, b = (find(parent, x) for x in (r.a, r.b))
+            parent[max(a, b)] = min(a, b)
+        plain = classes_of(set(texts))
+        groups = {}
+        for t in texts:
+            assert groups.setdefault(plain[t], find(parent, node[t])) == find(parent, node[t])
+        assert len(set(groups.values())) == len(groups)
+
+
+def test_very_long_lines_and_clashing_columns(spark):
+    random.seed(10)
+    long = "".join(random.choice("abcdefgh ") for _ in range(30_000)) + "."
+    near = long[:100] + "X" + long[100:20_000] + long[20_001:]
+    far = long[:100] + "X" + long[100:20_000] + "YY" + long[20_000:]
+    rows = [(1, long, 7, 0), (2, near, 8, 0), (3, far, 9, 0), (4, "x\n" + long, 5, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id long, key long")
+    got = {(r.doc_id, r.line_no): r for r in L.judge_lines(df).collect()}
+    assert [got[k].n_links for k in ((1, 0), (2, 0), (3, 0), (4, 1))] == [2, 2, 0, 2] and got[4, 0].class_id is None and not got[4, 1].kept
+    out = L.dedup_lines(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text[:1], r.class_id, r.key) for r in out] == [(1, long[0], 7, 0), (3, far[0], 9, 0), (4, "x", 5, 0)]
