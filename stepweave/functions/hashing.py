@@ -13,6 +13,13 @@ def stable_id(*parts: Column | str, separator: str = "||", length: int | None =
     return F.substring(digest, 1, length) if length else digest
 
 
+def joined_id(*parts: Column, length: int | None = 20) -> Column:
+    """First ``length`` hex digits of the SHA-256 of all parts, each with a zero byte behind it; a null part is empty text."""
+    texts = [F.concat(F.coalesce(p.cast("string"), F.lit("")), F.lit("\x00")) for p in parts]
+    digest = F.sha2(F.concat(*texts), 256)
+    return F.substring(digest, 1, length) if length else digest
+
+
 def unit_hash(text: Column, digits: int = 16, divisor: float | None = None) -> Column:
     """The first hex digits of a SHA-256 as a double in [0, 1); divisor: 2^(4 x digits) unless given."""
     number = F.conv(F.substring(F.sha2(text, 256), 1, digits), 16, 10).cast("decimal(20,0)").cast("double")

@@ -38,7 +38,8 @@ def test_answers(spark):
 
 def test_steps(spark):
     assert value(spark, text.split_steps(F.lit("One. Two! three"))) == ["One.", "Two!", "three"]
-    assert value(spark, text.split_steps(F.lit("- One\r\n2) two\n\nStep 3: three"))) == ["One", "two", "three"]
+    assert value(spark, text.split_steps(F.lit("- One\r\n2) two\n\n(c) Step 3: three"))) == ["One", "two", "Step 3: three"]
+    assert value(spark, text.split_steps(F.lit("One.\nTwo is. Three"), "sentence")) == ["One.", "Two is.", "Three"]
     assert [tuple(x) for x in value(spark, text.step_labels(F.lit("Q\nStep 1: a +\nStep 2: b -")))] == [("Step 1: a", "+"), ("Step 2: b", "-")]
     assert value(spark, text.problem_prefix(F.lit("Do  it. STEP 1: x step 2: y"))) == "Do it."
 
