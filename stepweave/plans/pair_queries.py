@@ -26,23 +26,7 @@ def g6(spark, sf_dir):
     return pr.first_bad_edge(signed(spark, sf_dir))
 
 
-@query("g7_first_bad_fanout", f"WITH {SIGN_SQL} SELECT key, CAST(unnest(CASE WHEN k = 1 THEN [0] ELSE [k - 1, 0] END) AS INTEGER) AS good, k AS bad FROM k WHERE k > 0")
-def g7(spark, sf_dir):
-    return pr.first_bad_fanout(signed(spark, sf_dir))
-
-
-@query("g8_g11_good_bad_grid", f"""WITH {SIGN_SQL}, p AS (SELECT a.key, a.step AS good, b.step AS bad, k.k FROM k JOIN s a ON a.key = k.key AND a.step < k.k JOIN s b ON b.key = k.key AND b.step >= k.k WHERE k.k > 0 AND k.k * (k.n - k.k) <= 6)
-SELECT key, good, bad, CAST(greatest(0.74 - 0.04 * least(greatest(k - 1 - good, 0), 4) - 0.03 * least(greatest(bad - k, 0), 4), 0.55) AS DOUBLE) AS confidence FROM p""")
-def g8(spark, sf_dir):
-    return rounded(pr.all_good_vs_all_bad(signed(spark, sf_dir)))
-
-
-@query("g10_terminal_anchors", f"WITH {SIGN_SQL} SELECT key, CAST(n - 1 AS INTEGER) AS good, CAST(bad AS INTEGER) AS bad, CAST(CASE WHEN n - 1 - bad <= 1 THEN 0.70 ELSE 0.66 END AS DOUBLE) AS confidence FROM (SELECT key, n, unnest(CASE WHEN n = 2 THEN [0] ELSE [n - 2, 0] END) AS bad FROM k WHERE k IS NULL AND n >= 2)")
-def g10(spark, sf_dir):
-    return pr.terminal_anchors(signed(spark, sf_dir))
-
-
-@query("g17_rated_pairs", """WITH c AS (SELECT user_id AS key, event_type, value, CASE WHEN value > 14 THEN 1 WHEN value > 6 THEN 0 ELSE -1 END AS rating, CAST(event_id AS VARCHAR) AS text FROM events WHERE event_id % 50 < 3),
+@query("g17_rated_pairs", """WITH c AS (SELECT user_id AS key, CASE WHEN value > 14 THEN 1 WHEN value > 6 THEN 0 ELSE -1 END AS rating FROM events),
 b AS (SELECT key, max(rating) FILTER (rating >= 0) AS br, min(rating) FILTER (rating < 0) AS wr FROM c GROUP BY key)
 SELECT key, 0 AS step, CAST(CASE WHEN br - wr >= 2 THEN 0.78 WHEN br - wr >= 1 THEN 0.70 ELSE 0.62 END AS DOUBLE) AS confidence FROM b WHERE br IS NOT NULL AND wr IS NOT NULL""")
 def g17(spark, sf_dir):
@@ -54,12 +38,12 @@ def g17(spark, sf_dir):
     return pr.rated_pairs(rows).select("key", "step", "confidence")
 
 
-@query("g28_geometry_class", f"WITH {SIGN_SQL} SELECT key, CASE WHEN k IS NULL THEN 'all_good' WHEN k = 0 THEN 'first_step' WHEN k = n - 1 THEN 'terminal' ELSE 'inner' END AS geometry, CASE WHEN k IS NULL THEN 'none' WHEN n - k <= 1 THEN 'gap1' WHEN n - k <= 3 THEN 'gap2_3' ELSE 'gap4' END AS gap FROM k")
+@query("g28_geometry_class", f"""WITH {SIGN_SQL} SELECT a.key, a.step AS good, b.step AS bad, CASE WHEN b.step = k.k AND a.step = k.k - 1 THEN 'lastsafe_vs_firstbad' WHEN b.step = k.k THEN 'earlygood_vs_firstbad' WHEN a.step = k.k - 1 THEN 'lastsafe_vs_laterbad' ELSE 'earlygood_vs_laterbad' END AS pair_type,
+CASE WHEN b.step - a.step <= 1 THEN 'gap1' WHEN b.step - a.step = 2 THEN 'gap2' WHEN b.step - a.step <= 4 THEN 'gap3_4' ELSE 'gap5p' END AS gap FROM k JOIN s a ON a.key = k.key AND a.step < k.k JOIN s b ON b.key = k.key AND b.step >= k.k""")
 def g28(spark, sf_dir):
-    k = signed(spark, sf_dir).select("key", F.size("signs").alias("n"), pr.first_negative(F.col("signs")).alias("k"))
-    geometry = F.when(F.col("k").isNull(), "all_good").when(F.col("k") == 0, "first_step").when(F.col("k") == F.col("n") - 1, "terminal").otherwise("inner")
-    gap = F.when(F.col("k").isNull(), "none").when(F.col("n") - F.col("k") <= 1, "gap1").when(F.col("n") - F.col("k") <= 3, "gap2_3").otherwise("gap4")
-    return k.select("key", geometry.alias("geometry"), gap.alias("gap"))
+    k = signed(spark, sf_dir).select("key", F.size("signs").alias("n"), pr.first_negative(F.col("signs")).cast("int").alias("k")).where("k > 0")
+    each = k.select("key", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("good")).select("key", "k", "good", F.explode(F.sequence(F.col("k"), F.col("n") - 1)).alias("bad"))
+    return each.select("key", "good", "bad", pr.pair_type(F.col("good"), F.col("bad"), F.col("k")).alias("pair_type"), pr.gap_bucket(F.col("bad") - F.col("good")).alias("gap"))
 
 
 @query("s2_hash_marked", "SELECT 'gsm8k:' || item_id AS id, 'gsm8k' AS dataset, trim(text) AS question, CAST(item_id * 3 AS VARCHAR) AS answer, trim('think #### twice about ' || item_id) AS cot FROM benchmark")
