@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import harmonic
 from ..operators import traces as tr
 from .registry import d_traces, query
 
@@ -78,40 +77,45 @@ def a14_best(spark, sf_dir):
     return rounded(tr.best(sweep, "f1", F.col("threshold")))
 
 
-@query("a33_near_best_window", f"WITH {GRID_SQL} SELECT round(min(threshold), 9) AS low, round(max(threshold), 9) AS high, round(max(threshold) - min(threshold), 9) AS width, count(*) AS n, round(max(f1), 9) AS best_f1 FROM x WHERE f1 >= 0.95 * (SELECT max(f1) FROM x)")
+def f1_sql(grid: str, tables: str = "d_traces", by: str = "") -> str:
+    """x(by, threshold, n_err, n_cor, ae, ac, f1) of a grid g(threshold)."""
+    keys = f"{by}, " if by else ""
+    return f"""{grid},
+fx AS (SELECT {keys}threshold, example_id, max(label) AS label, coalesce(min(CASE WHEN score < threshold THEN step END), -1) AS predicted FROM {tables}, g GROUP BY {keys}threshold, example_id),
+cx AS (SELECT {keys}threshold, count(*) FILTER (label >= 0) AS n_err, count(*) FILTER (label < 0) AS n_cor, count(*) FILTER (label >= 0 AND predicted = label) AS he, count(*) FILTER (label < 0 AND predicted = label) AS hc FROM fx GROUP BY {keys}threshold),
+x AS (SELECT *, coalesce(he / nullif(n_err, 0), 0) AS ae, coalesce(hc / nullif(n_cor, 0), 0) AS ac, CASE WHEN coalesce(he / nullif(n_err, 0), 0) + coalesce(hc / nullif(n_cor, 0), 0) = 0 THEN 0 ELSE 2 * coalesce(he / nullif(n_err, 0), 0) * coalesce(hc / nullif(n_cor, 0), 0) / (coalesce(he / nullif(n_err, 0), 0) + coalesce(hc / nullif(n_cor, 0), 0)) END AS f1 FROM cx)"""
+
+
+FIXED_SQL = "g AS (SELECT CAST(0.05 + i * 0.05 AS DOUBLE) AS threshold FROM generate_series(0, 18) AS s(i))"
+
+
+@query("a33_threshold_shift", f"""WITH {f1_sql(FIXED_SQL)}, b AS (SELECT * FROM x ORDER BY f1 DESC, abs(threshold - 0.5) LIMIT 1),
+w AS (SELECT min(x.threshold) AS lo, max(x.threshold) AS hi FROM x, b WHERE x.f1 >= b.f1 * 0.95), f AS (SELECT f1 FROM x WHERE abs(threshold - 0.5) < 1e-9)
+SELECT round(b.threshold, 9) AS best_threshold, round(b.f1, 9) AS best_f1, round(b.ac, 9) AS best_acc_correct, round(b.ae, 9) AS best_acc_erroneous, round(f.f1, 9) AS fixed_f1, round(lo, 9) AS window_min, round(hi, 9) AS window_max, round(hi - lo, 9) AS window_width FROM b, w, f""")
 def a33_window(spark, sf_dir):
-    rows = d_traces(spark, sf_dir)
-    sweep = tr.f1_by_threshold(rows, tr.observed_grid(rows, 9).select("threshold"))
-    top = sweep.agg(F.max("f1").alias("best_f1"))
-    near = sweep.crossJoin(F.broadcast(top)).where(F.col("f1") >= 0.95 * F.col("best_f1"))
-    return rounded(near.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high"), (F.max("threshold") - F.min("threshold")).alias("width"), F.count(F.lit(1)).alias("n"), F.max("best_f1").alias("best_f1")))
+    return rounded(tr.threshold_shift(d_traces(spark, sf_dir), tr.fixed_grid(spark, 0.05, 0.95, 0.05), 0.5))
 
 
-LOGO_SQL = """
-WITH span AS (SELECT generator, min(score) AS lo, max(score) AS hi FROM d_traces GROUP BY generator),
-grid AS (SELECT a.generator AS held, CAST(min(b.lo) + (max(b.hi) - min(b.lo)) * i / 4.0 AS DOUBLE) AS threshold FROM span a JOIN span b ON a.generator <> b.generator, generate_series(0, 4) AS s(i) GROUP BY a.generator, i),
-f AS (SELECT held, threshold, generator, example_id, max(label) AS label, coalesce(min(CASE WHEN score < threshold THEN step END), -1) AS predicted FROM d_traces, grid GROUP BY held, threshold, generator, example_id),
-c AS (SELECT held, threshold, held = generator AS own, count(*) FILTER (label >= 0) AS n_err, count(*) FILTER (label < 0) AS n_cor, count(*) FILTER (label >= 0 AND predicted = label) AS he, count(*) FILTER (label < 0 AND predicted = label) AS hc FROM f GROUP BY held, threshold, own),
-r AS (SELECT *, coalesce(he / nullif(n_err, 0), 0) AS ae, coalesce(hc / nullif(n_cor, 0), 0) AS ac FROM c),
-x AS (SELECT *, CASE WHEN ae + ac = 0 THEN 0 ELSE 2 * ae * ac / (ae + ac) END AS f1 FROM r),
-b AS (SELECT held, threshold, f1 FROM x WHERE NOT own QUALIFY row_number() OVER (PARTITION BY held ORDER BY f1 DESC, threshold) = 1)
-SELECT b.held AS generator, round(b.threshold, 9) AS threshold, round(b.f1, 9) AS others_f1, round(x.f1, 9) AS own_f1 FROM b JOIN x ON x.held = b.held AND x.threshold = b.threshold AND x.own"""
+OWN_SQL = """o AS (SELECT generator AS gen, CAST(lo + (hi - lo) * i / 6.0 AS DOUBLE) AS threshold FROM (SELECT generator, min(score) AS lo, max(score) AS hi FROM d_traces GROUP BY generator), generate_series(0, 6) AS s(i)),
+l AS (SELECT a.gen, CAST(min(b.lo) + (max(b.hi) - min(b.lo)) * i / 6.0 AS DOUBLE) AS threshold FROM (SELECT generator AS gen FROM d_traces GROUP BY generator) a JOIN (SELECT generator AS gen, min(score) AS lo, max(score) AS hi FROM d_traces GROUP BY generator) b ON a.gen <> b.gen, generate_series(0, 6) AS s(i) GROUP BY a.gen, i),
+g AS (SELECT 'own' AS kind, gen AS held, threshold FROM o UNION ALL SELECT 'fixed', gen, 0.5 FROM (SELECT DISTINCT gen FROM o) UNION ALL SELECT 'logo', gen, threshold FROM l),
+fx AS (SELECT kind, held, threshold, generator = held AS mine, example_id, max(label) AS label, coalesce(min(CASE WHEN score < threshold THEN step END), -1) AS predicted FROM d_traces, g WHERE kind = 'logo' OR generator = held GROUP BY ALL),
+cx AS (SELECT kind, held, threshold, mine, count(*) AS n, coalesce(count(*) FILTER (label >= 0 AND predicted = label) / nullif(count(*) FILTER (label >= 0), 0), 0) AS ae, coalesce(count(*) FILTER (label < 0 AND predicted = label) / nullif(count(*) FILTER (label < 0), 0), 0) AS ac FROM fx GROUP BY ALL),
+x AS (SELECT *, CASE WHEN ae + ac = 0 THEN 0 ELSE 2 * ae * ac / (ae + ac) END AS f1 FROM cx),
+own AS (SELECT held, n, threshold, f1 FROM x WHERE kind = 'own' QUALIFY row_number() OVER (PARTITION BY held ORDER BY f1 DESC, threshold) = 1),
+pick AS (SELECT held, threshold FROM x WHERE kind = 'logo' AND NOT mine QUALIFY row_number() OVER (PARTITION BY held ORDER BY f1 DESC, threshold) = 1),
+gr AS (SELECT own.held AS generator, own.n AS n_examples, own.threshold AS best_threshold, own.f1 AS best_f1, f.f1 AS fixed_f1, pick.threshold AS logo_threshold, x.f1 AS logo_f1 FROM own JOIN x f ON f.kind = 'fixed' AND f.held = own.held JOIN pick ON pick.held = own.held JOIN x ON x.kind = 'logo' AND x.mine AND x.held = own.held AND x.threshold = pick.threshold)"""
 
 
-@query("a33_leave_one_generator_out_j16", LOGO_SQL)
+@query("a33_leave_one_generator_out_j16", f"WITH {OWN_SQL} SELECT generator, n_examples, round(best_threshold, 9) AS best_threshold, round(best_f1, 9) AS best_f1, round(fixed_f1, 9) AS fixed_f1, round(logo_threshold, 9) AS logo_threshold, round(logo_f1, 9) AS logo_f1 FROM gr")
 def a33_logo(spark, sf_dir):
-    rows = d_traces(spark, sf_dir)
-    span = rows.groupBy("generator").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    # a row for each pair of generators: generators are few
-    others = span.alias("a").join(span.alias("b"), F.col("a.generator") != F.col("b.generator")).groupBy(F.col("a.generator").alias("held")).agg(F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi"))
-    grid = others.select("held", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"), "lo", "hi").select("held", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 4).alias("threshold"))
-    found = rows.crossJoin(F.broadcast(grid)).groupBy("held", "threshold", "generator", "example_id").agg(F.max("label").alias("label"), F.coalesce(F.min(F.when(F.col("score") < F.col("threshold"), F.col("step"))), F.lit(-1)).alias("predicted"))
-    wrong, hit = F.col("label") >= 0, F.col("predicted") == F.col("label")
-    sums = found.groupBy("held", "threshold", (F.col("held") == F.col("generator")).alias("own")).agg(F.count_if(wrong).alias("ne"), F.count_if(~wrong).alias("nc"), F.count_if(wrong & hit).alias("he"), F.count_if(~wrong & hit).alias("hc"))
-    x = sums.withColumn("f1", harmonic(F.coalesce(F.try_divide("he", "ne"), F.lit(0.0)), F.coalesce(F.try_divide("hc", "nc"), F.lit(0.0)))).select("held", "threshold", "own", "f1")
-    b = tr.best(x.where("not own"), "f1", F.col("threshold"), by=["held"]).select("held", "threshold", F.col("f1").alias("others_f1"))
-    own = x.where("own").select("held", "threshold", F.col("f1").alias("own_f1"))
-    return rounded(b.join(own, ["held", "threshold"]).select(F.col("held").alias("generator"), "threshold", "others_f1", "own_f1"))
+    return rounded(tr.group_thresholds(d_traces(spark, sf_dir), "generator", 7, 0.5))
+
+
+@query("a33_generator_gaps", f"WITH {OWN_SQL} SELECT count(*) AS generators, round(stddev_pop(best_threshold), 9) AS best_threshold_std, round(min(fixed_f1), 9) AS worst_fixed_f1, round(min(logo_f1), 9) AS worst_logo_f1, round(avg(best_f1 - logo_f1), 9) AS mean_logo_gap, round(avg(best_f1 - fixed_f1), 9) AS mean_fixed_gap FROM gr")
+def a33_gaps(spark, sf_dir):
+    g = tr.group_thresholds(d_traces(spark, sf_dir), "generator", 7, 0.5)
+    return rounded(g.agg(F.count(F.lit(1)).alias("generators"), F.stddev_pop("best_threshold").alias("best_threshold_std"), F.min("fixed_f1").alias("worst_fixed_f1"), F.min("logo_f1").alias("worst_logo_f1"), F.avg(F.col("best_f1") - F.col("logo_f1")).alias("mean_logo_gap"), F.avg(F.col("best_f1") - F.col("fixed_f1")).alias("mean_fixed_gap")))
 
 
 ABR_SQL = """
@@ -151,30 +155,39 @@ def b2(spark, sf_dir):
     return n.select("example_id", "n_steps", "label", F.when(F.col("n_steps") > 3, 3).otherwise(-1).alias("stop"), F.least("n_steps", F.lit(4)).cast("long").alias("used"))
 
 
-@query("b3_policy_grid_j15", """
-WITH p AS (SELECT row_number() OVER (ORDER BY tau, delta) - 1 AS policy, tau, delta FROM (VALUES (0.2), (0.35), (0.5)) a(tau), (VALUES (0.1), (0.2), (0.3), (0.4)) b(delta)),
-t AS (SELECT policy, example_id, step, label, score < tau OR coalesce(lag(score) OVER (PARTITION BY policy, example_id ORDER BY step), 1.0) - score > delta AS hit FROM d_traces, p),
-s AS (SELECT policy, example_id, max(label) AS label, coalesce(min(CASE WHEN hit THEN step END), -1) AS stop FROM t GROUP BY policy, example_id)
-SELECT CAST(policy AS INTEGER) AS policy, count(*) AS n, count(*) FILTER (CASE WHEN label < 0 THEN stop < 0 ELSE stop >= 0 AND stop <= label END) AS n_right, count(*) FILTER (stop >= 0) AS n_stopped FROM s GROUP BY policy""")
+def sweep_sql() -> str:
+    values = ", ".join(f"({p['policy']}, '{p['family']}', {p['tau']}, {p['delta']}, {p['min_step']}, {p['cap']}, {p['strikes']})" for p in tr.policy_grid())
+    n = len(tr.policy_grid())
+    return f"""pl AS (SELECT * FROM (VALUES {values}) v(policy, family, tau, delta, min_step, cap, strikes)),
+tt AS (SELECT *, coalesce(lag(score) OVER (PARTITION BY example_id ORDER BY step), 1.0) - score AS dr FROM d_traces),
+bb AS (SELECT policy, family, strikes, example_id, step, label, score < tau OR (step >= min_step AND dr > delta AND score < cap) AS bad FROM tt, pl),
+hh AS (SELECT *, bad AND (strikes = 1 OR coalesce(lag(bad) OVER (PARTITION BY policy, example_id ORDER BY step), false)) AS hit FROM bb),
+st AS (SELECT policy, family, example_id, max(label) AS label, count(*) AS n, coalesce(min(CASE WHEN hit THEN step END), -1) AS stop FROM hh GROUP BY policy, family, example_id),
+al AS (SELECT policy, family, label, n, stop, CASE WHEN stop < 0 THEN n ELSE stop + 1 END AS used FROM st
+  UNION ALL SELECT {n - 1} + k, 'fixed_schedule', label, n, CASE WHEN n > k THEN k ELSE -1 END, least(n, k + 1) FROM (SELECT example_id, max(label) AS label, count(*) AS n FROM d_traces GROUP BY example_id), generate_series(1, 6) s(k)),
+rr AS (SELECT *, CASE WHEN label < 0 THEN stop < 0 ELSE stop >= 0 AND stop <= label END AS ok FROM al),
+sm AS (SELECT policy, family, count(*) FILTER (label >= 0 AND ok) AS tp, count(*) FILTER (label < 0 AND ok) AS tn, count(*) FILTER (label < 0 AND NOT ok) AS fp, count(*) FILTER (label >= 0 AND NOT ok) AS fn, avg(used / n) AS mean_used FROM rr GROUP BY policy, family),
+pf AS (SELECT *, coalesce(tp / nullif(tp + fn, 0), 0) AS ae, coalesce(tn / nullif(tn + fp, 0), 0) AS ac FROM sm),
+pw AS (SELECT CAST(policy AS INTEGER) AS policy, family, tp, tn, fp, fn, round(CASE WHEN ae + ac = 0 THEN 0 ELSE 2 * ae * ac / (ae + ac) END, 9) AS balanced_f1, round(mean_used, 9) AS mean_used FROM pf)"""
+
+
+@query("b3_policy_grid_j15", f"WITH {sweep_sql()} SELECT * FROM pw")
 def b3(spark, sf_dir):
-    grid = [(i * 4 + k, tau, delta) for i, tau in enumerate((0.2, 0.35, 0.5)) for k, delta in enumerate((0.1, 0.2, 0.3, 0.4))]
-    rows = d_traces(spark, sf_dir)
-    t = rows.withColumn("drop", F.lag("score", 1, 1.0).over(W.partitionBy("example_id").orderBy("step")) - F.col("score"))
-    # every policy is a pair of conditional minima of one pass, not a copy of the rows
-    hit = {n: F.coalesce(F.min(F.when((F.col("score") < tau) | (F.col("drop") > delta), F.col("step"))), F.lit(-1)).alias(f"p{n}") for n, tau, delta in grid}
-    wide = t.groupBy("example_id").agg(F.max("label").alias("label"), *hit.values())
-    long = wide.select("label", F.posexplode(F.array(*(F.col(f"p{n}") for n, _, _ in grid))).alias("policy", "stop"))
-    right = F.when(F.col("label") < 0, F.col("stop") < 0).otherwise((F.col("stop") >= 0) & (F.col("stop") <= F.col("label")))
-    return long.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("n_right"), F.count_if(F.col("stop") >= 0).alias("n_stopped"))
+    return rounded(tr.policy_sweep(d_traces(spark, sf_dir)))
+
+
+@query("b3_k14_best_of_each_family", f"WITH {sweep_sql()} SELECT family, policy, balanced_f1, mean_used FROM pw QUALIFY row_number() OVER (PARTITION BY family ORDER BY balanced_f1 DESC, policy) = 1")
+def b3_best(spark, sf_dir):
+    return tr.best(rounded(tr.policy_sweep(d_traces(spark, sf_dir))), "balanced_f1", F.col("policy"), by=["family"]).select("family", "policy", "balanced_f1", "mean_used")
 
 
 @query("b4_two_strike_w5", """
-WITH t AS (SELECT *, score < 0.5 AS bad FROM d_traces),
+WITH t AS (SELECT *, score < 0.42 OR (step >= 2 AND coalesce(lag(score) OVER (PARTITION BY example_id ORDER BY step), 1.0) - score > 0.2) AS bad FROM d_traces),
 u AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY example_id ORDER BY step) AS run FROM t),
 v AS (SELECT *, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY example_id, run ORDER BY step) AS streak FROM u)
 SELECT example_id, count(*) AS n_steps, max(label) AS label, coalesce(min(CASE WHEN streak >= 2 THEN step END), -1) AS stop FROM v GROUP BY example_id""")
 def b4(spark, sf_dir):
-    return tr.two_strikes(d_traces(spark, sf_dir), F.col("score") < 0.5)
+    return tr.two_strikes(d_traces(spark, sf_dir), (F.col("score") < 0.42) | ((F.col("step") >= 2) & (F.col("drop") > 0.2)))
 
 
 @query("b6_teacher_actions", """
@@ -204,41 +217,65 @@ def w6(spark, sf_dir):
     return rounded(out.select("example_id", (F.col("score") >= F.col("before")).alias("on_top"), (F.col("score") - F.col("before")).alias("gap")))
 
 
-@query("a20_failure_buckets", """
-WITH e AS (SELECT example_id, count(*) AS n, max(label) AS label, avg(score) AS m FROM d_traces GROUP BY example_id)
-SELECT CASE WHEN label < 0 THEN 'all_correct' WHEN label = 0 THEN 'step0' WHEN (label + 1) / n <= 1 / 3.0 THEN 'early' WHEN (label + 1) / n >= 2 / 3.0 THEN 'late' ELSE 'mid' END AS bucket, count(*) AS n_examples, round(avg(m), 9) AS mean_score FROM e GROUP BY bucket""")
+BUCKETS_SQL = """e AS (SELECT *, count(*) OVER (PARTITION BY example_id) AS n, max(step) OVER (PARTITION BY example_id) AS last, max(score) OVER (PARTITION BY example_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(score) OVER (PARTITION BY example_id ORDER BY step) AS prev FROM d_traces),
+b AS (SELECT *, CASE WHEN label < 0 THEN 'all_correct' WHEN label = 0 THEN 'error_at_step0' WHEN n <= 1 THEN 'early_error' WHEN label / greatest(n - 1, 1) <= 1 / 3.0 THEN 'early_error' WHEN label / greatest(n - 1, 1) >= 2 / 3.0 THEN 'late_error' ELSE 'mid_error' END AS bucket,
+  CASE WHEN label < 0 THEN CASE WHEN step = n - 1 THEN 'all_correct_terminal' ELSE 'all_correct_nonterminal' END WHEN step = label THEN 'first_bad_prefix' WHEN step < label THEN 'safe_prefix' ELSE 'later_bad_prefix' END AS prefix FROM e)"""
+
+
+@query("a20_failure_buckets", f"""WITH {BUCKETS_SQL}, p AS (SELECT g.bucket, count(*) AS pairs, avg(CASE WHEN g.score > w.score THEN 1.0 ELSE 0 END) AS acc FROM b g JOIN b w ON g.example_id = w.example_id AND g.label > 0 AND g.step < g.label AND w.step >= w.label GROUP BY g.bucket),
+s AS (SELECT bucket, count(DISTINCT example_id) AS num_examples, avg(score) AS mean_score, count(*) FILTER (label > 0 AND step = label) AS edges, avg(CASE WHEN prev > score THEN 1.0 ELSE 0 END) FILTER (label > 0 AND step = label) AS edge_acc,
+  avg(CASE WHEN score >= coalesce(before, score) THEN 1.0 ELSE 0 END) FILTER (label < 0 AND step = last) AS top1, avg(score - coalesce(before, score)) FILTER (label < 0 AND step = last) AS gap FROM b GROUP BY bucket)
+SELECT s.bucket, num_examples, coalesce(pairs, 0) AS num_pairs, round(acc, 9) AS pair_accuracy, edges AS num_edges, round(edge_acc, 9) AS edge_accuracy, round(top1, 9) AS terminal_top1, round(gap, 9) AS terminal_gap, round(mean_score, 9) AS mean_score FROM s LEFT JOIN p ON s.bucket = p.bucket""")
 def a20(spark, sf_dir):
-    e = d_traces(spark, sf_dir).groupBy("example_id").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"), F.avg("score").alias("m"))
-    at = (F.col("label") + 1) / F.col("n")
-    bucket = F.when(F.col("label") < 0, "all_correct").when(F.col("label") == 0, "step0").when(at <= 1 / 3.0, "early").when(at >= 2 / 3.0, "late").otherwise("mid")
-    return rounded(e.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_examples"), F.avg("m").alias("mean_score")))
+    return rounded(tr.example_buckets(d_traces(spark, sf_dir)))
 
 
-@query("a35_reward_feasibility", """
-WITH e AS (SELECT example_id, var_samp(score) AS v FROM d_traces GROUP BY example_id HAVING count(*) > 1),
-o AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM d_traces)
-SELECT count(*) AS n, round(stddev_samp(score), 9) AS std, round(max(CASE WHEN i = CAST(floor(n * 0.1) AS BIGINT) THEN score END), 9) AS p10, round(max(CASE WHEN i = CAST(floor(n * 0.5) AS BIGINT) THEN score END), 9) AS p50, round(max(CASE WHEN i = CAST(floor(n * 0.9) AS BIGINT) THEN score END), 9) AS p90,
-  round(avg(CASE WHEN score > 0.8 THEN 1.0 ELSE 0 END), 9) AS above_08, round(avg(CASE WHEN score < 0.5 THEN 1.0 ELSE 0 END), 9) AS below_05, (SELECT round(avg(v), 9) FROM e) AS mean_within_variance FROM o""")
-def a35(spark, sf_dir):
-    rows = d_traces(spark, sf_dir)
-    e = rows.groupBy("example_id").agg(F.var_samp("score").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").agg(F.avg("v").alias("mean_within_variance"))
-    at = index_quantiles(rows, "score", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    s = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("score").alias("std"), F.avg((F.col("score") > 0.8).cast("double")).alias("above_08"), F.avg((F.col("score") < 0.5).cast("double")).alias("below_05"))
-    return rounded(s.crossJoin(at).crossJoin(e))
+@query("a20_prefix_buckets", f"""WITH {BUCKETS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY prefix) AS k FROM b)
+SELECT prefix AS bucket, count(*) AS num_prefixes, round(avg(score), 9) AS mean_score, round(max(CASE WHEN i = round_even((k - 1) * CAST(0.1 AS DOUBLE), 0) THEN score END), 9) AS p10_score, round(max(CASE WHEN i = round_even((k - 1) * CAST(0.9 AS DOUBLE), 0) THEN score END), 9) AS p90_score, round(avg(step), 9) AS mean_step, min(label) AS label_min, max(label) AS label_max FROM o GROUP BY prefix""")
+def a20_prefix(spark, sf_dir):
+    return rounded(tr.prefix_buckets(d_traces(spark, sf_dir)))
+
+
+@query("a21_transfer_means", f"""WITH {BUCKETS_SQL} SELECT round(coalesce(avg(score) FILTER (prefix = 'safe_prefix'), 0), 9) AS safe_prefix, round(coalesce(avg(score) FILTER (prefix = 'first_bad_prefix'), 0), 9) AS first_bad_prefix, round(coalesce(avg(score) FILTER (prefix = 'later_bad_prefix'), 0), 9) AS later_bad_prefix,
+  round(coalesce(avg(score) FILTER (prefix = 'all_correct_nonterminal'), 0), 9) AS all_correct_nonterminal, round(coalesce(avg(score) FILTER (prefix = 'all_correct_terminal'), 0), 9) AS all_correct_terminal, round(avg(CASE WHEN score >= coalesce(before, score) THEN 1.0 ELSE 0 END) FILTER (label < 0 AND step = last), 9) AS terminal_top1, round(avg(score - coalesce(before, score)) FILTER (label < 0 AND step = last), 9) AS terminal_gap FROM b""")
+def a21(spark, sf_dir):
+    return rounded(tr.transfer_means(d_traces(spark, sf_dir)))
 
 
-def index_quantiles(rows, value: str, at: dict[str, float], buckets: int = 1024):
-    """Values at sorted places floor(n q): counts by range of the value find the range, then only that range is sorted."""
-    span = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    wide = F.col("_hi") - F.col("_lo")
-    b = rows.select(F.col(value).alias("_v")).crossJoin(F.broadcast(span)).withColumn("_b", F.when(wide > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / wide * buckets), F.lit(buckets - 1))).otherwise(0).cast("int"))
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = b.join(counts, "_b").withColumn("_i", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("_v")) - 1)
-    return placed.agg(*(F.max(F.when(F.col("_i") == F.floor(F.col("_n") * q).cast("long"), F.col("_v"))).alias(k) for k, q in at.items()))
+GROUPS_SQL = """gp AS (SELECT score, CASE WHEN label < 0 THEN 'all_correct' WHEN step < label THEN 'erroneous_good' ELSE 'erroneous_bad' END AS grp FROM d_traces)"""
+
+
+@query("a35_reward_distribution", f"""WITH {GROUPS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM gp)
+SELECT grp, count(*) AS n, round(avg(score), 9) AS mean, round(coalesce(stddev_samp(score), 0), 9) AS std, round(max(CASE WHEN i = n // 10 THEN score END), 9) AS p10, round(max(CASE WHEN i = n // 2 THEN score END), 9) AS p50, round(max(CASE WHEN i = CAST(floor(n * CAST(0.9 AS DOUBLE)) AS BIGINT) THEN score END), 9) AS p90,
+  round(avg(CASE WHEN score > 0.8 THEN 1.0 ELSE 0 END), 9) AS above_08, round(avg(CASE WHEN score < 0.5 THEN 1.0 ELSE 0 END), 9) AS below_05 FROM o GROUP BY grp""")
+def a35(spark, sf_dir):
+    from ..operators.curation import range_slot, ranked
+
+    rows = d_traces(spark, sf_dir)
+    grp = F.when(F.col("label") < 0, "all_correct").when(F.col("step") < F.col("label"), "erroneous_good").otherwise("erroneous_bad")
+    r = ranked(rows.select("score", grp.alias("grp")), "grp", ["score"], range_slot(F.col("score"), 0.0, 1.0))
+    at = lambda place: F.max(F.when(F.col("_n") - 1 == place, F.col("score")))
+    n = F.col("_all")
+    return rounded(r.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), at(F.floor(n / 10)).alias("p10"), at(F.floor(n / 2)).alias("p50"), at(F.floor(n * F.lit(0.9))).alias("p90"), F.avg((F.col("score") > 0.8).cast("double")).alias("above_08"), F.avg((F.col("score") < 0.5).cast("double")).alias("below_05")))
+
+
+@query("a35_separation_and_noise", """WITH e AS (SELECT example_id, max(label) AS label, count(*) AS n, var_samp(score) AS v, arg_max(score, step) AS last FROM d_traces GROUP BY example_id),
+m AS (SELECT avg(score) FILTER (label < 0) - avg(score) FILTER (label >= 0 AND step >= label) AS separation FROM d_traces),
+s AS (SELECT avg(last) AS mean_reward, stddev_samp(last) AS std_reward, avg(n) AS mean_steps, avg(v) FILTER (n > 1) AS within FROM e)
+SELECT CAST(beta AS DOUBLE) AS beta, round(beta * 0.05 * mean_steps, 9) AS kl_term, round(std_reward, 9) AS signal_std, round(std_reward / (beta * 0.05 * mean_steps + 1e-8), 3) AS snr, std_reward / (beta * 0.05 * mean_steps + 1e-8) > 2 AS snr_ok, round(within, 9) AS within_variance, round(separation, 9) AS separation FROM s, m, (VALUES (0.0), (0.01), (0.02), (0.05), (0.1), (0.2), (0.5)) b(beta)""")
+def a35_noise(spark, sf_dir):
+    rows = d_traces(spark, sf_dir)
+    e = rows.groupBy("example_id").agg(F.count(F.lit(1)).alias("n"), F.var_samp("score").alias("v"), F.max_by("score", "step").alias("last"))
+    s = e.agg(F.avg("last").alias("mean_reward"), F.stddev_samp("last").alias("std"), F.avg("n").alias("steps"), F.avg(F.when(F.col("n") > 1, F.col("v"))).alias("within_variance"))
+    m = rows.agg((F.avg(F.when(F.col("label") < 0, F.col("score"))) - F.avg(F.when((F.col("label") >= 0) & (F.col("step") >= F.col("label")), F.col("score")))).alias("separation"))
+    each = s.crossJoin(m).withColumn("beta", F.explode(F.array(*map(F.lit, (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)))))
+    kl = F.col("beta") * 0.05 * F.col("steps")
+    snr = F.col("std") / (kl + 1e-8)
+    return each.select("beta", F.round(kl, 9).alias("kl_term"), F.round("std", 9).alias("signal_std"), F.round(snr, 3).alias("snr"), (snr > 2).alias("snr_ok"), F.round("within_variance", 9).alias("within_variance"), F.round("separation", 9).alias("separation"))
 
 
 @query("j19_stepwise_separation", """
-WITH e AS (SELECT * FROM d_traces WHERE step < 20),
+WITH e AS (SELECT * FROM d_traces),
 p AS (SELECT c.step, count(*) AS pairs, sum(CASE WHEN c.score > w.score THEN 1 ELSE 0 END) AS won FROM e c JOIN e w ON c.step = w.step AND c.label < 0 AND w.label >= 0 GROUP BY c.step),
 n AS (SELECT step, count(*) FILTER (label < 0) AS n_correct, count(*) FILTER (label >= 0) AS n_error FROM e GROUP BY step)
 SELECT n.step, n_correct, n_error, round(won / pairs, 9) AS p_above FROM n JOIN p ON n.step = p.step WHERE n_correct >= 5 AND n_error >= 5""")
