@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import beta_rate, clip, share
+from .curation import range_slot, ranked
 
 
 def accuracy_report(rows: DataFrame, correct: Column, failed: Column, by: str) -> DataFrame:
@@ -109,18 +110,77 @@ def utility(edges: DataFrame, weight: Column | None = None) -> DataFrame:
 
 
 def top_by_pool(rows: DataFrame, pool: str, score: str, gold: str, key: str) -> DataFrame:
-    """Per pool the chosen candidate (score, then id, descending), its regret and the gap to the second."""
+    """Per pool of two candidates or more the chosen one (score, then id, descending), its regret and the gap to the second."""
     w = W.partitionBy(pool).orderBy(F.desc(score), F.desc(key))
     r = rows.withColumns({"_n": F.row_number().over(w), "_next": F.lead(score).over(w), "_best": F.max(gold).over(W.partitionBy(pool)), "n": F.count(F.lit(1)).over(W.partitionBy(pool))})
-    return r.where("_n = 1").select(pool, key, "n", (F.col(gold) == F.col("_best")).alias("top1"), (F.col("_best") - F.col(gold)).alias("regret"), F.coalesce(F.col(score) - F.col("_next"), F.lit(0.0)).alias("gap"))
+    return r.where("_n = 1 and n > 1").select(pool, key, "n", (F.col(gold) == F.col("_best")).alias("top1"), (F.col("_best") - F.col(gold)).alias("regret"), F.coalesce(F.col(score) - F.col("_next"), F.lit(0.0)).alias("gap"))
 
 
-def coverage_curve(pools: DataFrame, key: str, coverages: list[float]) -> DataFrame:
-    """Accuracy and regret of the pools with the largest gaps, at each coverage."""
-    ranked = pools.withColumns({"_n": F.row_number().over(W.orderBy(F.desc("gap"), key)), "_all": F.count(F.lit(1)).over(W.partitionBy())})
+def coverage_curve(pools: DataFrame, key: str, coverages: list[float], most_gap: float = 1.0) -> DataFrame:
+    """Accuracy and regret of the pools with the largest gaps (then keys), max(1, round(coverage x all)) of them at each coverage. Gaps are from 0 to most_gap."""
+    r = ranked(pools.withColumn("_one", F.lit(0)), "_one", [F.desc("gap"), F.desc(key)], range_slot(F.col("gap"), 0.0, most_gap, falling=True))
     at = F.explode(F.array(*(F.lit(c) for c in coverages)))
-    kept = ranked.withColumn("coverage", at).where(F.col("_n") <= F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("_all"))))
-    return kept.groupBy("coverage").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("threshold"), F.avg(F.col("top1").cast("double")).alias("accuracy"), F.avg("regret").alias("mean_regret"))
+    kept = r.withColumn("coverage", at).where(F.col("_n") <= F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("_all"))))
+    return kept.groupBy("coverage").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.max("_all")).alias("actual_coverage"), F.min("gap").alias("threshold"), F.avg(F.col("top1").cast("double")).alias("accuracy"), F.avg("regret").alias("mean_regret"))
+
+
+def pressure_curve(rows: DataFrame, pool: str, key: str, score: str, gold: str, sizes: list[int], repeats: int = 4) -> DataFrame:
+    """Per subset size: subsets (one of each pool that is large enough, for each repeat, by hash of repeat and key), hit rate and mean regret of the top score."""
+    each = rows.select(pool, F.col(key).alias("_k"), F.col(score).alias("_s"), F.col(gold).alias("_g"), F.count(F.lit(1)).over(W.partitionBy(pool)).alias("_c"))
+    each = each.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = F.sha2(F.concat(F.col("_r").cast("string"), F.lit(":"), F.col("_k").cast("string")), 256)
+    n = F.row_number().over(W.partitionBy(pool, "_r").orderBy(order))
+    top = each.withColumn("_n", n).where(F.col("_n") <= max(sizes))
+    inside = lambda s: F.col("_n") <= s
+    one = top.groupBy(pool, "_r").agg(F.max("_c").alias("_c"), *(F.max_by("_g", F.when(inside(s), F.struct("_s", "_k"))).alias(f"p{s}") for s in sizes), *(F.max(F.when(inside(s), F.col("_g"))).alias(f"b{s}") for s in sizes))
+    long = one.select("_c", F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.col(f"p{s}").alias("p"), F.col(f"b{s}").alias("b")) for s in sizes))).alias("x")).select("_c", "x.*").where("_c >= size")
+    regret = F.col("b") - F.col("p")
+    return long.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs(regret) <= 1e-9).cast("double")).alias("accuracy"), F.avg(regret).alias("mean_regret"))
+
+
+def local_trust(nodes: DataFrame, pool: str) -> DataFrame:
+    """Per pool with a bad candidate: the first bad step, and how the scores of its safe and bad candidates stand.
+
+    nodes: pool, id, score, max_safe and min_bad (steps at which a candidate is the better or the worse side of pairs, null
+    if never). Safe ones are safe before the first bad step only. Pairs of safe and bad ones are counted in score order.
+    """
+    w = W.partitionBy(pool)
+    first = nodes.withColumn("first_bad", F.min("min_bad").over(w)).where("first_bad is not null")
+    safe, bad = F.col("max_safe") < F.col("first_bad"), F.col("min_bad") >= F.col("first_bad")
+    m = first.withColumns({"_safe": F.coalesce(safe, F.lit(False)), "_bad": F.coalesce(bad, F.lit(False))})
+    m = m.withColumn("_edge", F.max(F.when(F.col("_safe"), F.col("max_safe"))).over(w)).where("_edge is not null")
+    m = m.withColumns({"_last": F.col("_safe") & (F.col("max_safe") == F.col("_edge")), "_at": F.coalesce(F.col("min_bad") == F.col("first_bad"), F.lit(False))})
+    up = w.orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    above = lambda c: F.sum(F.col(c).cast("long")).over(up) - F.sum(F.col(c).cast("long")).over(W.partitionBy(pool, "score"))
+    m = m.withColumns({"_above": above("_safe"), "_above_last": above("_last")})
+    n = lambda c: F.sum(F.col(c).cast("long"))
+    return m.groupBy(pool).agg(F.max("first_bad").alias("first_bad"), F.max_by("_last", F.struct("score", "id")).alias("last_safe_on_top"), (n("_last") * n("_at")).alias("edges"), F.sum(F.when(F.col("_at"), F.col("_above_last")).otherwise(0)).alias("edges_right"), (n("_safe") * n("_bad")).alias("pairs"), F.sum(F.when(F.col("_bad"), F.col("_above")).otherwise(0)).alias("pairs_right"))
+
+
+def judge_report(rows: DataFrame) -> DataFrame:
+    """One row from rows (label, n_steps, parsed, overall, first_bad from 1, null: none): parse rate, accuracies and mean step accuracy.
+
+    A judge that names no steps calls all before its first bad one correct and the others not.
+    """
+    err = F.col("label") >= 0
+    want = F.when(err, F.col("label") + 1)
+    ok = F.coalesce(F.col("parsed"), F.lit(False))
+    exact = ok & F.col("first_bad").eqNullSafe(want)
+    near = ok & F.coalesce(F.abs(F.col("first_bad") - want) <= 1, F.lit(False))
+    beyond = F.col("n_steps") + 1
+    said, true = F.when(F.col("first_bad").isNull(), beyond).otherwise(F.least(F.greatest(F.col("first_bad"), F.lit(1)), beyond)), F.coalesce(want, beyond)
+    steps = F.when(ok, (F.col("n_steps") - F.abs(said - true)) / F.greatest(F.col("n_steps"), F.lit(1))).otherwise(0.0)
+    rate = lambda c: F.avg(c.cast("double"))
+    among = lambda c: share(F.count_if(c & err), F.greatest(F.count_if(err), F.lit(1)))
+    return rows.agg(F.count(F.lit(1)).alias("n"), rate(ok).alias("parse_ok_rate"), rate(ok & F.coalesce(F.col("overall") == F.when(err, "incorrect").otherwise("correct"), F.lit(False))).alias("overall_acc"), among(exact).alias("first_bad_exact"), among(near).alias("first_bad_near"), F.avg(steps).alias("mean_step_acc"))
+
+
+def best_of_n(rows: DataFrame, question: str, sample: str, score: str, correct: str) -> DataFrame:
+    """One row: accuracy of the first sample, of one by hash, of the best scored (the first of equals) and of any."""
+    ok = F.col(correct).cast("int")
+    random = F.sha2(F.concat(F.lit("random:"), F.col(question).cast("string"), F.lit(":"), F.col(sample).cast("string")), 256)
+    q = rows.groupBy(question).agg(F.min_by(ok, sample).alias("g"), F.min_by(ok, random).alias("r"), F.min_by(ok, F.struct(-F.col(score), F.col(sample))).alias("p"), F.max(ok).alias("o"))
+    return q.agg(F.count(F.lit(1)).alias("n"), F.avg("g").alias("greedy"), F.avg("r").alias("random"), F.avg("p").alias("reranked"), F.avg("o").alias("oracle"))
 
 
 def majority(votes: DataFrame, by: str, vote: str, valid: list[str]) -> DataFrame:
@@ -135,3 +195,38 @@ def gate(row: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     """reasons: names of the failed checks in order; passed: there are none."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), n) for n, c in checks)))
     return row.withColumn("reasons", failed).withColumn("passed", F.size("reasons") == 0)
+
+
+def consensus_pairs(mapping: DataFrame, clean: DataFrame, corrupt: DataFrame, teacher_clean: DataFrame, teacher_corrupt: DataFrame, min_delta: float = 0.02, min_z: float = 0.2, teacher_margin: float = 0.1, need_teacher: bool = False) -> DataFrame:
+    """mapping (u, corrupt) with the differences of its two sides, and the gate with the teacher's consent where it knows both.
+
+    Pairs without either side are left out. clean: u, q, se, weight; corrupt: also corrupt; teacher tables: u, tq or tc.
+    """
+    side = lambda df, n: df.select(*(F.col(c).alias(f"{c}{n}") if c in ("q", "se", "weight") else F.col(c) for c in df.columns))
+    p = mapping.join(side(clean, 1), "u").join(side(corrupt, 2), ["u", "corrupt"]).join(teacher_clean, "u", "left").join(teacher_corrupt, "u", "left")
+    delta, z = F.col("q1") - F.col("q2"), (F.col("q1") - F.col("q2")) / F.greatest(F.sqrt(F.col("se1") * F.col("se1") + F.col("se2") * F.col("se2")), F.lit(1e-8))
+    p = p.withColumns({"delta_q": delta, "z_delta": z, "teacher_available": F.col("tq").isNotNull() & F.col("tc").isNotNull(), "_d": F.col("tq") - F.col("tc")})
+    p = p.withColumn("gate_mc", (F.col("delta_q") >= min_delta) & (F.col("z_delta") >= min_z))
+    agreed = F.col("gate_mc") & (F.col("_d") >= teacher_margin) & ((F.col("delta_q") >= 0) == (F.col("_d") >= 0))
+    return p.withColumn("gate", F.when(F.col("teacher_available"), agreed).otherwise(F.lit(False) if need_teacher else F.col("gate_mc")))
+
+
+def teacher_join_report(targets: DataFrame, teacher: DataFrame, lam: float = 0.5, disagree: float = 0.3) -> DataFrame:
+    """One row: how many targets (id, q) have a teacher (id, teacher), how many teachers have no target, coverage, disagreement and means."""
+    j = targets.join(teacher.withColumn("teacher", clip(F.col("teacher"))), "id", "left")
+    extra = teacher.join(targets, "id", "left_anti").agg(F.count(F.lit(1)).alias("num_extra"))
+    n = F.count("teacher")
+    s = j.agg(F.count(F.lit(1)).alias("num_targets"), n.alias("num_joined"), share(n, F.count(F.lit(1))).alias("coverage"), share(F.count_if(F.abs(F.col("q") - F.col("teacher")) >= disagree), n).alias("disagree_ratio"), F.avg("q").alias("mean_q_mc"), F.avg("teacher").alias("mean_q_teacher"), F.avg(lam * F.col("q") + (1 - lam) * F.col("teacher")).alias("mean_q_fused"))
+    return s.crossJoin(extra)
+
+
+def instability(rows: DataFrame, by: str) -> DataFrame:
+    """Per group of replies (tags: array of yes and no, is_correct, parse_error): counts and rates of answers that change within a reply."""
+    n = F.size("tags")
+    switches = F.size(F.filter(F.transform("tags", lambda x, i: (i > 0) & ~x.eqNullSafe(F.get(F.col("tags"), i - 1))), lambda x: x))
+    apart = (n > 1) & (F.get("tags", F.lit(0)) != F.try_element_at("tags", F.lit(-1)))
+    x = rows.select(by, n.alias("n"), switches.alias("s"), F.coalesce(apart, F.lit(False)).alias("d"), "is_correct", "parse_error")
+    total, tagged = F.count(F.lit(1)), F.greatest(F.count_if(F.col("n") > 0), F.lit(1))
+    counts = {"n_correct": F.col("is_correct"), "n_parse_error": F.col("parse_error"), "n_with_final_tag": F.col("n") > 0, "n_multi_final_tag": F.col("n") > 1, "n_first_last_disagree": F.col("d"), "n_with_tag_switch": F.col("s") > 0}
+    rates = {"accuracy": "n_correct", "parse_error_rate": "n_parse_error", "with_final_tag_rate": "n_with_final_tag", "multi_final_tag_rate": "n_multi_final_tag", "first_last_disagree_rate": "n_first_last_disagree", "tag_switch_rate": "n_with_tag_switch"}
+    return x.groupBy(by).agg(total.alias("n_total"), *(F.count_if(c).alias(k) for k, c in counts.items()), *(share(F.count_if(counts[c]), total).alias(k) for k, c in rates.items()), F.avg("n").alias("mean_tags_all"), (F.sum("n") / tagged).alias("mean_tags_tagged"), (F.sum("s") / tagged).alias("mean_switches_tagged"))

@@ -83,7 +83,7 @@ def a22(spark, sf_dir):
 
 
 POOL_SQL = """k AS (SELECT example_id, step, score, step % 5 AS gold, lead(score) OVER w AS nxt, row_number() OVER w AS n, max(step % 5) OVER (PARTITION BY example_id) AS best, count(*) OVER (PARTITION BY example_id) AS c FROM d_traces WINDOW w AS (PARTITION BY example_id ORDER BY score DESC, step DESC)),
-pools AS (SELECT example_id, step, c AS n, gold = best AS top1, best - gold AS regret, coalesce(score - nxt, 0) AS gap FROM k WHERE n = 1)"""
+pools AS (SELECT example_id, step, c AS n, gold = best AS top1, best - gold AS regret, coalesce(score - nxt, 0) AS gap FROM k WHERE n = 1 AND c > 1)"""
 
 
 @query("a23_w9_pool_top1", f"WITH {POOL_SQL} SELECT example_id, step, n, top1, regret, round(gap, 9) AS gap FROM pools")
@@ -91,39 +91,29 @@ def a23(spark, sf_dir):
     return rounded(me.top_by_pool(d_traces(spark, sf_dir).withColumn("gold", F.col("step") % 5), "example_id", "score", "gold", "step"))
 
 
-@query("a24_coverage_curve", f"""WITH {POOL_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY gap DESC, example_id) AS i, count(*) OVER () AS al FROM pools)
-SELECT CAST(coverage AS DOUBLE) AS coverage, count(*) AS n, round(min(gap), 9) AS threshold, round(avg(CASE WHEN top1 THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(regret), 9) AS mean_regret FROM r, (VALUES (0.25), (0.5), (0.75), (1.0)) v(coverage) WHERE i <= greatest(1, round_even(coverage * al, 0)) GROUP BY coverage""")
+@query("a24_coverage_curve", f"""WITH {POOL_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY gap DESC, example_id DESC) AS i, count(*) OVER () AS al FROM pools)
+SELECT CAST(coverage AS DOUBLE) AS coverage, count(*) AS n, round(count(*) / max(al), 9) AS actual_coverage, round(min(gap), 9) AS threshold, round(avg(CASE WHEN top1 THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(regret), 9) AS mean_regret FROM r, (VALUES (1.0), (0.8), (0.6), (0.4), (0.2)) v(coverage) WHERE i <= greatest(1, round_even(CAST(coverage AS DOUBLE) * al, 0)) GROUP BY coverage""")
 def a24(spark, sf_dir):
     pools = me.top_by_pool(d_traces(spark, sf_dir).withColumn("gold", F.col("step") % 5), "example_id", "score", "gold", "step")
-    return rounded(me.coverage_curve(pools, "example_id", [0.25, 0.5, 0.75, 1.0]))
+    return rounded(me.coverage_curve(pools, "example_id", [1.0, 0.8, 0.6, 0.4, 0.2]))
 
 
-@query("a25_pressure_curve", """WITH h AS (SELECT example_id, score, step % 5 AS gold, row_number() OVER (PARTITION BY example_id ORDER BY sha256('0:' || step)) AS n FROM d_traces),
-s AS (SELECT size, example_id, arg_max(gold, score) AS picked, max(gold) AS best FROM h, (VALUES (1), (2), (4), (8)) v(size) WHERE n <= size GROUP BY size, example_id)
-SELECT size, count(*) AS n, round(avg(picked), 9) AS mean_gold, round(avg(best), 9) AS mean_best FROM s GROUP BY size""")
+@query("a25_pressure_curve", """WITH h AS (SELECT example_id, rep, score, step, (step % 5) / 4.0 AS gold, row_number() OVER (PARTITION BY example_id, rep ORDER BY sha256(rep || ':' || step)) AS n, count(*) OVER (PARTITION BY example_id, rep) AS c FROM d_traces, range(0, 4) r(rep)),
+s AS (SELECT size, example_id, rep, arg_max(gold, struct_pack(a := score, b := step)) AS picked, max(gold) AS best FROM h, (VALUES (2), (3), (4), (6), (8)) v(size) WHERE n <= size AND c >= size GROUP BY size, example_id, rep)
+SELECT size, count(*) AS n, round(avg(CASE WHEN abs(best - picked) <= 1e-9 THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(best - picked), 9) AS mean_regret FROM s GROUP BY size""")
 def a25(spark, sf_dir):
-    n = F.row_number().over(W.partitionBy("example_id").orderBy(F.sha2(F.concat(F.lit("0:"), F.col("step").cast("string")), 256)))
-    h = d_traces(spark, sf_dir).select("example_id", "score", (F.col("step") % 5).alias("gold"), n.alias("n")).where("n <= 8")
-    sizes = [1, 2, 4, 8]
-    one = h.groupBy("example_id").agg(*(F.max_by("gold", F.when(F.col("n") <= s, F.col("score"))).alias(f"p{s}") for s in sizes), *(F.max(F.when(F.col("n") <= s, F.col("gold"))).alias(f"b{s}") for s in sizes))
-    long = one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.col(f"p{s}").alias("p"), F.col(f"b{s}").alias("b")) for s in sizes))).alias("x")).select("x.*")
-    return rounded(long.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_gold"), F.avg("b").alias("mean_best")))
+    rows = d_traces(spark, sf_dir).withColumn("gold", (F.col("step") % 5) / 4.0)
+    return rounded(me.pressure_curve(rows, "example_id", "step", "score", "gold", [2, 3, 4, 6, 8]))
 
 
-@query("a28_truncation", "SELECT source, count(*) AS n, count(*) FILTER (len(string_split(text, ' ')) > 200) AS over_limit, max(len(string_split(text, ' '))) AS longest, round(count(*) FILTER (len(string_split(text, ' ')) > 200) / count(*), 9) AS over_share FROM documents GROUP BY source")
-def a28(spark, sf_dir):
-    words = F.size(F.split("text", " ", -1))
-    d = t(spark, sf_dir, "documents").select("source", words.alias("w"))
-    return rounded(d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w") > 200).alias("over_limit"), F.max("w").cast("long").alias("longest"), (F.count_if(F.col("w") > 200) / F.count(F.lit(1))).alias("over_share")))
-
-
-@query("a29_judge_metrics", """WITH j AS (SELECT example_id, max(label) AS label, coalesce(min(CASE WHEN score < 0.3 THEN step END), -1) AS said FROM d_traces GROUP BY example_id)
-SELECT count(*) AS n, round(avg(CASE WHEN (label < 0) = (said < 0) THEN 1.0 ELSE 0 END), 9) AS overall, round(avg(CASE WHEN said = label THEN 1.0 ELSE 0 END) FILTER (label >= 0), 9) AS exact_first, round(avg(CASE WHEN said >= 0 AND abs(said - label) <= 1 THEN 1.0 ELSE 0 END) FILTER (label >= 0), 9) AS near_first FROM j""")
-def a29(spark, sf_dir):
-    j = d_traces(spark, sf_dir).groupBy("example_id").agg(F.max("label").alias("label"), F.coalesce(F.min(F.when(F.col("score") < 0.3, F.col("step"))), F.lit(-1)).alias("said"))
-    err, lab, said = F.col("label") >= 0, F.col("label"), F.col("said")
-    one = lambda c, among=None: F.avg(F.when(among, c.cast("double")) if among is not None else c.cast("double"))
-    return rounded(j.agg(F.count(F.lit(1)).alias("n"), one((lab < 0) == (said < 0)).alias("overall"), one(said == lab, err).alias("exact_first"), one((said >= 0) & (F.abs(said - lab) <= 1), err).alias("near_first")))
+@query("a23_j13_local_trust", """WITH g AS (SELECT example_id, step, score, label, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, step DESC) AS i FROM d_traces WHERE label > 0),
+p AS (SELECT a.example_id, count(*) AS pairs, count(*) FILTER (a.score > b.score) AS ok FROM g a JOIN g b ON a.example_id = b.example_id AND a.step < a.label AND b.step >= b.label GROUP BY a.example_id),
+e AS (SELECT a.example_id, count(*) FILTER (a.score > b.score) AS ok FROM g a JOIN g b ON a.example_id = b.example_id AND a.step = a.label - 1 AND b.step = b.label GROUP BY a.example_id)
+SELECT g.example_id, label AS first_bad, step = label - 1 AS last_safe_on_top, CAST(1 AS BIGINT) AS edges, e.ok AS edges_right, p.pairs, p.ok AS pairs_right FROM g JOIN p ON p.example_id = g.example_id JOIN e ON e.example_id = g.example_id WHERE i = 1""")
+def a23_local(spark, sf_dir):
+    good = F.col("step") < F.col("label")
+    nodes = d_traces(spark, sf_dir).where("label >= 0").select("example_id", F.col("step").alias("id"), "score", F.when(good, F.col("step")).alias("max_safe"), F.when(~good, F.col("step")).alias("min_bad"))
+    return me.local_trust(nodes, "example_id")
 
 
 @query("a30_majority_vote", """WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b, count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY user_id)
@@ -132,65 +122,27 @@ def a30(spark, sf_dir):
     return me.majority(t(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view", "signup"])
 
 
-@query("a31_weak_strong_gate", """WITH s AS (SELECT score AS weak, lead(score, 1, 0.5) OVER (PARTITION BY example_id ORDER BY step) AS strong, CASE WHEN label < 0 OR step < label THEN 1 ELSE 0 END AS y FROM d_traces),
-x AS (SELECT CAST(tau AS DOUBLE) AS tau, CASE WHEN abs(weak - 0.5) < tau THEN 1.0 ELSE 0 END AS used, CASE WHEN (CASE WHEN abs(weak - 0.5) < tau THEN strong ELSE weak END >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END AS ok FROM s, (VALUES (0.0), (0.1), (0.2), (0.3)) v(tau))
-SELECT tau, round(avg(used), 9) AS usage_rate, round(avg(ok), 9) AS accuracy FROM x GROUP BY tau""")
-def a31(spark, sf_dir):
-    s = d_traces(spark, sf_dir).select(F.col("score").alias("weak"), F.lead("score", 1, 0.5).over(W.partitionBy("example_id").orderBy("step")).alias("strong"), ((F.col("label") < 0) | (F.col("step") < F.col("label"))).alias("y"))
-    taus = [0.0, 0.1, 0.2, 0.3]
-    near = lambda tau: F.abs(F.col("weak") - 0.5) < tau
-    cells = [F.struct(F.lit(tau).alias("tau"), near(tau).cast("double").alias("u"), ((F.when(near(tau), F.col("strong")).otherwise(F.col("weak")) >= 0.5) == F.col("y")).cast("double").alias("ok")) for tau in taus]
-    # sums for every threshold in one pass, then a row for each
-    sums = s.agg(*(F.avg(c["u"]).alias(f"u{k}") for k, c in enumerate(cells)), *(F.avg(c["ok"]).alias(f"k{k}") for k, c in enumerate(cells)))
-    return rounded(sums.select(F.explode(F.array(*(F.struct(F.lit(tau).alias("tau"), F.col(f"u{k}").alias("usage_rate"), F.col(f"k{k}").alias("accuracy")) for k, tau in enumerate(taus)))).alias("x")).select("x.*"))
-
-
-@query("a36_seed_groups", """WITH g AS (SELECT o_orderpriority AS grp, o_orderstatus AS seed, avg(o_totalprice) / 500000 AS m FROM orders GROUP BY ALL)
-SELECT grp, count(*) AS seeds, round(avg(m), 9) AS mean, round(stddev_pop(m), 9) AS std, round(min(m), 9) AS worst, round(0.5 * avg(m) + 0.3 * min(m) + 0.2 * (1 - least(stddev_pop(m), 1)), 9) AS trust FROM g GROUP BY grp""")
-def a36(spark, sf_dir):
-    g = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp"), "o_orderstatus").agg((F.avg("o_totalprice") / 500000).alias("m"))
-    s = g.groupBy("grp").agg(F.count(F.lit(1)).alias("seeds"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.min("m").alias("worst"))
-    return rounded(s.withColumn("trust", 0.5 * F.col("mean") + 0.3 * F.col("worst") + 0.2 * (1 - F.least("std", F.lit(1.0)))))
-
-
 @query("a37_a39_sum_then_divide", "SELECT l_returnflag, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_correct, count(*) AS n_total, round(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) / count(*), 9) AS accuracy FROM lineitem GROUP BY l_returnflag")
 def a37(spark, sf_dir):
     ok = F.col("l_discount") > 0.05
     return rounded(t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(ok).alias("n_correct"), F.count(F.lit(1)).alias("n_total"), (F.count_if(ok) / F.count(F.lit(1))).alias("accuracy")))
 
 
-@query("a38_promotion_gate", """WITH m AS (SELECT o_orderstatus AS candidate, avg(o_totalprice) AS acc, stddev_samp(o_totalprice) AS sd, count(*) AS n FROM orders GROUP BY 1)
-SELECT candidate, array_to_string(list_filter([CASE WHEN n < 6000 THEN 'too_few' END, CASE WHEN acc < 250000 THEN 'accuracy_below_minimum' END, CASE WHEN sd > 144000 THEN 'unstable' END], lambda x: x IS NOT NULL), ',') AS reasons, n >= 6000 AND acc >= 250000 AND sd <= 144000 AS passed FROM m""")
-def a38(spark, sf_dir):
-    m = t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("candidate")).agg(F.avg("o_totalprice").alias("acc"), F.stddev_samp("o_totalprice").alias("sd"), F.count(F.lit(1)).alias("n"))
-    g = me.gate(m, [("too_few", F.col("n") >= 6000), ("accuracy_below_minimum", F.col("acc") >= 250000), ("unstable", F.col("sd") <= 144000)])
-    return g.select("candidate", F.array_join("reasons", ",").alias("reasons"), "passed")
-
-
-@query("a40_j17_delta_to_baseline", """WITH m AS (SELECT n_name, c_mktsegment AS run, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
-SELECT m.n_name, m.run, round(m.v, 6) AS v, round(m.v - b.v, 6) AS delta FROM m LEFT JOIN m b ON m.n_name = b.n_name AND b.run = 'BUILDING'""")
+@query("a40_j17_delta_to_baseline", """WITH r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'C2' WHEN 1 THEN 'D_teacher' WHEN 2 THEN 'D_run' ELSE 'C1' END AS kind, o_orderpriority AS dataset, CASE o_custkey % 5 WHEN 0 THEN 'C2_STRATEGYQA_CQR_FULL' WHEN 1 THEN 'C2_STRATEGYQA_QUALITY_FIRST_FULL' WHEN 2 THEN 'C2_STRATEGYQA_CQR_SMOKE' ELSE 'other' END AS group_id,
+  epoch_us(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey AS ts, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice / 600000 END AS pb, o_totalprice / 500000 AS br, CASE WHEN o_custkey % 7 > 0 THEN o_totalprice / 700000 END AS acc, o_custkey % 100 / 100.0 AS auc FROM orders),
+b AS (SELECT dataset, pb, acc, auc FROM r WHERE kind = 'C2' QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY CASE group_id WHEN 'C2_STRATEGYQA_CQR_FULL' THEN 0 WHEN 'C2_STRATEGYQA_QUALITY_FIRST_FULL' THEN 1 WHEN 'C2_STRATEGYQA_CQR_SMOKE' THEN 2 ELSE 3 END, ts DESC) = 1)
+SELECT r.id, r.kind, round(CASE WHEN r.kind[1] = 'D' THEN coalesce(r.pb, r.br) - b.pb END, 6) AS delta_posthoc_brier, round(CASE WHEN r.kind[1] = 'D' THEN r.acc - b.acc END, 6) AS delta_pair_acc, round(CASE WHEN r.kind[1] = 'D' THEN r.auc - b.auc END, 6) AS delta_auc FROM r LEFT JOIN b ON r.dataset = b.dataset""")
 def a40(spark, sf_dir):
-    m = t(spark, sf_dir, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("run")).agg(F.avg("c_acctbal").alias("v"))
-    m = m.withColumn("base", F.max(F.when(F.col("run") == "BUILDING", F.col("v"))).over(W.partitionBy("c_nationkey")))
-    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return m.join(n, "c_nationkey").select("n_name", "run", F.round("v", 6).alias("v"), F.round(F.col("v") - F.col("base"), 6).alias("delta"))
-
-
-@query("a46_best_of_n", """WITH s AS (SELECT generator, example_id, step, score, luck <> 0 AS ok FROM d_hashed)
-SELECT generator, count(*) AS n, round(avg(g), 9) AS greedy, round(avg(r), 9) AS reranked, round(avg(o), 9) AS oracle FROM (SELECT generator, example_id, max(CASE WHEN step = 0 AND ok THEN 1 ELSE 0 END) AS g, arg_max(CASE WHEN ok THEN 1 ELSE 0 END, score) AS r, max(CASE WHEN ok THEN 1 ELSE 0 END) AS o FROM s GROUP BY generator, example_id) GROUP BY generator""")
-def a46(spark, sf_dir):
-    from ..functions.hashing import hash_bucket
-
-    ok = (hash_bucket(F.concat(F.lit("bad:"), F.col("example_id").cast("string"), F.lit(":"), F.col("step").cast("string")), 7) != 0).cast("int")
-    e = d_traces(spark, sf_dir).withColumn("ok", ok).groupBy("generator", "example_id").agg(F.max(F.when(F.col("step") == 0, F.col("ok")).otherwise(0)).alias("g"), F.max_by("ok", "score").alias("r"), F.max("ok").alias("o"))
-    return rounded(e.groupBy("generator").agg(F.count(F.lit(1)).alias("n"), F.avg("g").alias("greedy"), F.avg("r").alias("reranked"), F.avg("o").alias("oracle")))
-
-
-@query("a48_command_families", r"""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(url, '\d+', '<n>', 'g'), 'https?://', '') AS family FROM pages)
-SELECT family, count(*) AS runs, max(page_id) AS last_seen FROM f GROUP BY family""")
-def a48(spark, sf_dir):
-    family = F.regexp_replace(F.regexp_replace("url", r"\d+", "<n>"), "https?://", "")
-    return t(spark, sf_dir, "pages").groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("runs"), F.max("page_id").alias("last_seen"))
+    from ..operators.recipes import baseline_deltas
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(k % 4 == 0, "C2").when(k % 4 == 1, "D_teacher").when(k % 4 == 2, "D_run").otherwise("C1")
+    group = F.when(c % 5 == 0, "C2_STRATEGYQA_CQR_FULL").when(c % 5 == 1, "C2_STRATEGYQA_QUALITY_FIRST_FULL").when(c % 5 == 2, "C2_STRATEGYQA_CQR_SMOKE").otherwise("other")
+    at = F.date_format(F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    p = F.col("o_totalprice")
+    rows = t(spark, sf_dir, "orders").select(k.alias("id"), kind.alias("kind"), F.col("o_orderpriority").alias("dataset"), group.alias("group_id"), at.alias("generated_at"), F.when(c % 3 > 0, p / 600000).alias("posthoc_brier"), (p / 500000).alias("brier"), F.when(c % 7 > 0, p / 700000).alias("corr_pair_acc"), (c % 100 / 100.0).alias("corr_auc"))
+    out = baseline_deltas(rows)
+    return out.select("id", "kind", *(F.round(x, 6).alias(x) for x in ("delta_posthoc_brier", "delta_pair_acc", "delta_auc")))
 
 
 @query("w10_w11_primary_candidate", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_discount DESC, l_extendedprice DESC, l_partkey, l_linenumber) AS n FROM lineitem) WHERE n <= 2")

@@ -42,27 +42,44 @@ def a16(spark, sf_dir):
     return rounded(rp.series_summary(t(spark, sf_dir, "documents"), "n_chars", ["source"]))
 
 
-@query("a17_distribution", "SELECT k AS key, count(p.pair_id) AS n, round(count(p.pair_id) / (SELECT count(*) FROM d_pairs WHERE semantics IN ('local', 'sibling', 'terminal')), 9) AS share FROM (VALUES ('local'), ('sibling'), ('terminal'), ('missing')) v(k) LEFT JOIN d_pairs p ON p.semantics = k GROUP BY k")
+GEOMETRY = """pr AS (SELECT g.example_id, g.generator, g.step AS good, b.step AS bad, g.score > b.score AS ok, CASE WHEN b.step = b.label AND g.step = b.label - 1 THEN 'lastsafe_vs_firstbad' WHEN b.step = b.label THEN 'earlygood_vs_firstbad' WHEN g.step = b.label - 1 THEN 'lastsafe_vs_laterbad' ELSE 'earlygood_vs_laterbad' END AS pair_type,
+  CASE WHEN b.step - g.step <= 1 THEN 'gap1' WHEN b.step - g.step = 2 THEN 'gap2' WHEN b.step - g.step <= 4 THEN 'gap3_4' ELSE 'gap5p' END AS gap FROM d_traces g JOIN d_traces b ON g.example_id = b.example_id AND g.label > 0 AND g.step < g.label AND b.step >= b.label)"""
+TYPE_KEYS = "(VALUES ('lastsafe_vs_firstbad'), ('earlygood_vs_firstbad'), ('lastsafe_vs_laterbad'), ('earlygood_vs_laterbad')) v(key)"
+GAP_KEYS = "(VALUES ('gap1'), ('gap2'), ('gap3_4'), ('gap5p')) v(key)"
+
+
+@query("a17_pair_type_distribution", f"WITH {GEOMETRY} SELECT key, count(p.good) AS n, round(count(p.good) / (SELECT count(*) FROM pr), 9) AS share FROM {TYPE_KEYS} LEFT JOIN pr p ON p.pair_type = key GROUP BY key")
 def a17(spark, sf_dir):
-    return rounded(rp.distribution(d_pairs(spark, sf_dir), "semantics", ["local", "sibling", "terminal", "missing"]))
+    return rounded(rp.geometry_distribution(d_traces(spark, sf_dir), "pair_type"))
+
+
+@query("a17_gap_distribution", f"WITH {GEOMETRY} SELECT key, count(p.good) AS n, round(count(p.good) / (SELECT count(*) FROM pr), 9) AS share FROM {GAP_KEYS} LEFT JOIN pr p ON p.gap = key GROUP BY key")
+def a17_gap(spark, sf_dir):
+    return rounded(rp.geometry_distribution(d_traces(spark, sf_dir), "gap"))
+
+
+@query("a17_pair_geometry_of_records", """WITH p AS (SELECT chosen_text AS c, rejected_text AS r, step % 6 AS good, step % 6 + step % 4 + 1 AS bad, CASE WHEN step % 5 > 0 THEN step % 6 + 1 END AS k FROM d_pairs)
+SELECT count(*) AS num_pairs, count(k) AS with_steps, round(avg(CASE WHEN starts_with(r, c) THEN 1.0 ELSE 0 END), 9) AS prefix_relation_rate, round(avg(greatest(length(c), length(r)) / greatest(least(length(c), length(r)), 1)), 9) AS mean_length_ratio, count(*) FILTER (k IS NOT NULL AND bad = k AND good = k - 1) AS lastsafe_vs_firstbad, count(*) FILTER (k IS NOT NULL AND bad <> k AND good = k - 1) AS lastsafe_vs_laterbad, count(*) FILTER (k IS NOT NULL AND bad - good <= 1) AS gap1, count(*) FILTER (k IS NOT NULL AND bad - good BETWEEN 3 AND 4) AS gap3_4 FROM p""")
+def a17_records(spark, sf_dir):
+    s = F.col("step")
+    p = d_pairs(spark, sf_dir).select("chosen_text", "rejected_text", (s % 6).alias("good"), (s % 6 + s % 4 + 1).alias("bad"), F.when(s % 5 > 0, s % 6 + 1).alias("first_bad"))
+    g = rp.record_geometry(p)
+    return rounded(g.select("num_pairs", "with_steps", "prefix_relation_rate", "mean_length_ratio", "lastsafe_vs_firstbad", "lastsafe_vs_laterbad", "gap1", "gap3_4"))
 
 
-@query("a18_l1_distance", """WITH a AS (SELECT semantics AS k, count(*) / sum(count(*)) OVER () AS x FROM d_pairs WHERE semantics IS NOT NULL AND domain_tag = 'en' GROUP BY 1), b AS (SELECT semantics AS k, count(*) / sum(count(*)) OVER () AS y FROM d_pairs WHERE semantics IS NOT NULL AND domain_tag = 'fr' GROUP BY 1)
-SELECT round(sum(abs(coalesce(x, 0) - coalesce(y, 0))), 9) AS l1 FROM a FULL OUTER JOIN b ON a.k = b.k""")
+@query("a18_l1_distance", f"""WITH {GEOMETRY}, t AS (SELECT pair_type AS k, count(*) FILTER (generator = 'src0') / (SELECT count(*) FROM pr WHERE generator = 'src0') AS x, count(*) FILTER (generator = 'src1') / (SELECT count(*) FROM pr WHERE generator = 'src1') AS y FROM pr GROUP BY 1), g AS (SELECT gap AS k, count(*) FILTER (generator = 'src0') / (SELECT count(*) FROM pr WHERE generator = 'src0') AS x, count(*) FILTER (generator = 'src1') / (SELECT count(*) FROM pr WHERE generator = 'src1') AS y FROM pr GROUP BY 1)
+SELECT round((SELECT sum(abs(x - y)) FROM t), 9) AS pair_type_l1, round((SELECT sum(abs(x - y)) FROM g), 9) AS gap_l1""")
 def a18(spark, sf_dir):
-    p = d_pairs(spark, sf_dir)
-    one = lambda lang: rp.distribution(p.where(F.col("domain_tag") == lang), "semantics", ["local", "sibling", "terminal"])
-    return rounded(rp.l1_distance(one("en"), one("fr")))
+    rows = d_traces(spark, sf_dir)
+    one = lambda source, kind: rp.geometry_distribution(rows.where(F.col("generator") == source), kind)
+    both = lambda kind, name: rp.l1_distance(one("src0", kind), one("src1", kind)).withColumnRenamed("l1", name)
+    return rounded(both("pair_type", "pair_type_l1").crossJoin(both("gap", "gap_l1")))
 
 
-@query("a19_alignment_by_gap", """WITH e AS (SELECT b.step - g.step AS gap, g.score > b.score AS ok FROM d_traces g JOIN d_traces b ON g.example_id = b.example_id AND g.label > 0 AND g.step < g.label AND b.step = b.label)
-SELECT CASE WHEN gap = 1 THEN 'gap1' WHEN gap = 2 THEN 'gap2' ELSE 'gap3' END AS gap, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 9) AS accuracy FROM e GROUP BY 1""")
+@query("a19_alignment_slices", f"""WITH {GEOMETRY}, s AS (SELECT 'gap' AS dimension, gap AS value, ok FROM pr UNION ALL SELECT 'pair_type', pair_type, ok FROM pr UNION ALL SELECT 'aggregate', CASE WHEN pair_type LIKE '%firstbad' THEN 'anygood_vs_firstbad' ELSE 'good_vs_laterbad' END, ok FROM pr UNION ALL SELECT 'all', 'good_vs_bad', ok FROM pr)
+SELECT dimension, value, count(*) AS count, count(*) FILTER (ok) AS positive, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 9) AS accuracy FROM s GROUP BY 1, 2""")
 def a19(spark, sf_dir):
-    # any good step against the first bad one: the bad score is one number of an example, so a window instead of a self-join
-    first = F.max(F.when(F.col("step") == F.col("label"), F.col("score"))).over(W.partitionBy("example_id"))
-    r = d_traces(spark, sf_dir).withColumn("bad", first).where("label > 0 and step < label")
-    gap = F.col("label") - F.col("step")
-    return rounded(r.groupBy(F.when(gap == 1, "gap1").when(gap == 2, "gap2").otherwise("gap3").alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") > F.col("bad")).cast("double")).alias("accuracy")))
+    return rounded(rp.alignment_slices(d_traces(spark, sf_dir)))
 
 
 @query("a41_rollout_summary", "SELECT event_type, count(*) AS n, count(DISTINCT prefix_id) AS n_prefixes, round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0 END), 9) AS mean_correct FROM d_rollouts GROUP BY event_type")
@@ -70,46 +87,108 @@ def a41(spark, sf_dir):
     return rounded(d_rollouts(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prefix_id").alias("n_prefixes"), F.avg(F.col("is_correct").cast("double")).alias("mean_correct")))
 
 
-@query("a44_frontier_pivot", "SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de FROM documents GROUP BY source")
-def a44(spark, sf_dir):
-    p = t(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "fr", "de"]).agg(F.count(F.lit(1)))
-    return p.na.fill(0)
+#: Replies by hand, with what is read from them.
+REPLIES = [
+    ('I think {"overall_verdict": " Correct", "confidence": 1.5}', "correct", None, 1.0, None),
+    ('x {1}\n```json\n{"overall_verdict": "incorrect", "first_incorrect_step": "3", "confidence": 0.25}\n``` y}', "incorrect", 3, 0.25, None),
+    ('{"overall_verdict": "maybe"}', "parse_failed", None, None, "invalid_overall_verdict"),
+    ("no object", "parse_failed", None, None, "no_json_object_found"),
+    ('{broken} then {"a": {"b": "}{"}, "overall_verdict": "correct", "first_incorrect_step": null}', "parse_failed", None, None, "json_parse_failed"),
+    ('then {"a": {"b": "}"}, "overall_verdict": "correct"}', "parse_failed", None, None, "invalid_overall_verdict"),
+    ('then {"overall_verdict": "correct", "first_incorrect_step": null, "a": {"b": "}{"}}', "correct", None, None, None),
+    ('{"note": "x", {"first_incorrect_step": 2, "overall_verdict": "incorrect"} tail', "incorrect", 2, None, None),
+    ('{"overall_verdict": "correct", "confidence": "high"}', "correct", None, None, "invalid_confidence"),
+    ("{unclosed", "parse_failed", None, None, "no_json_object_found"),
+    ("{'a': 1}", "parse_failed", None, None, "json_parse_failed"),
+]
 
 
-@query("a47_training_health", """WITH e AS (SELECT user_id AS run, event_id AS epoch, value AS loss, min(value) OVER (PARTITION BY user_id) AS lo FROM events)
-SELECT run, max(loss) - min(loss) AS loss_range, round(stddev_pop(loss), 9) AS loss_std, min(CASE WHEN loss = lo THEN epoch END) AS best_epoch, max(loss) - min(loss) < 20 AS flat FROM e GROUP BY run""")
-def a47(spark, sf_dir):
-    e = t(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("run")).agg((F.max("value") - F.min("value")).alias("loss_range"), F.round(F.stddev_pop("value"), 9).alias("loss_std"), F.min_by("event_id", F.struct("value", "event_id")).alias("best_epoch"), (F.max("value") - F.min("value") < 20).alias("flat"))
+def sql_text(x) -> str:
+    if x is None:
+        return "NULL"
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if isinstance(x, str) else repr(x)
 
 
-@query("c20_json_verdict", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' END AS verdict, CASE event_id % 4 WHEN 0 THEN least(value, 1.0) WHEN 1 THEN CAST(0.25 AS DOUBLE) END AS confidence, event_id % 4 < 2 AS parsed FROM events""")
+def one_of(values: list[str]):
+    """The reply of an event, by its number."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+
+
+REPLY_SQL = ", ".join(f"({k}, {sql_text(v)}, CAST({sql_text(s)} AS INTEGER), CAST({sql_text(c)} AS DOUBLE), {sql_text(e)})" for k, (_, v, s, c, e) in enumerate(REPLIES))
+
+
+@query("c20_json_verdict", f"SELECT event_id, v AS overall_verdict, s AS first_incorrect_step, c AS confidence, e AS parse_error FROM events JOIN (VALUES {REPLY_SQL}) r(k, v, s, c, e) ON event_id % {len(REPLIES)} = k")
 def c20(spark, sf_dir):
-    v, n = F.col("value").cast("string"), F.col("event_id") % 4
-    said = F.when(n == 0, F.concat(F.lit('I think {"verdict": " Correct", "confidence": '), v, F.lit("}"))).when(n == 1, F.lit('x {1}\n```json\n{"verdict": "incorrect", "confidence": 0.25}\n``` y}')).when(n == 2, '{"verdict": "maybe"}').otherwise("no object")
-    return t(spark, sf_dir, "events").select("event_id", rp.json_verdict(said).alias("x")).select("event_id", "x.*")
+    return t(spark, sf_dir, "events").select("event_id", rp.json_verdict(one_of([r[0] for r in REPLIES])).alias("x")).select("event_id", "x.*")
+
 
+@query("f5_judge_filter", f"""WITH r AS (SELECT * FROM (VALUES {REPLY_SQL}) r(k, v, s, c, e))
+SELECT event_id, CASE WHEN a.e IS NOT NULL OR b.e IS NOT NULL THEN 'parse_failed' WHEN a.c < 0.5 THEN 'chosen_low_confidence' WHEN b.c < 0.5 THEN 'rejected_low_confidence' WHEN a.v <> 'correct' THEN 'chosen_not_correct' WHEN b.v <> 'incorrect' THEN 'rejected_not_incorrect' ELSE 'judge_agree' END AS reason FROM events JOIN r a ON event_id % {len(REPLIES)} = a.k JOIN r b ON user_id % {len(REPLIES)} = b.k""")
+def f5(spark, sf_dir):
+    texts = [r[0] for r in REPLIES]
+    other = F.element_at(F.array(*map(F.lit, texts)), (F.col("user_id") % len(texts) + 1).cast("int"))
+    x = t(spark, sf_dir, "events").select("event_id", rp.json_verdict(one_of(texts)).alias("a"), rp.json_verdict(other).alias("b"))
+    return x.select("event_id", rp.keep_judged(F.col("a"), F.col("b"), 0.5).alias("reason"))
 
-@query("c20_block_verdict_choice", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'incorrect' WHEN 1 THEN 'correct' END AS overall, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 2 ELSE CAST(user_id AS INTEGER) END END AS first_bad, event_id % 3 < 2 AS parsed, CASE event_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'TIE' END AS choice FROM events""")
+
+BLOCKS = [
+    ("so\n[FINAL]\noverall = Incorrect\nstep_3=incorrect\nSTEP_2 = Incorrect\nstep_1=correct\n[/FINAL] overall=correct", "incorrect", 2, 3, None),
+    ("[final]\nOVERALL=correct\nFIRST_BAD=none", "correct", None, 0, None),
+    ("[ final]\nover all=incorrect\nfirst bad = 4\n[/ final ] rest", "incorrect", 4, 0, None),
+    ("[FINAL]OVERALL=correct[/FINAL]", None, None, None, "first_bad_missing"),
+    ("[FINAL]\nSTEP_1=correct\n[/FINAL]", None, None, None, "overall_missing"),
+    ("[FINAL]\nOVERALL=incorrect\nFIRST_BAD=two\n[/FINAL]", None, None, None, "invalid_first_bad: two"),
+    ("[FINAL]\nOVERALL=incorrect\nSTEP_X=correct\n[/FINAL]", None, None, None, "invalid_step_key: STEP_X"),
+    ("overall=correct", None, None, None, "final_block_missing"),
+    ("[FINAL]\nOVERALL=correct\nSTEP_1=correct\n[/FINAL]", "correct", None, 1, None),
+]
+BLOCK_SQL = ", ".join(f"({k}, {sql_text(o)}, CAST({sql_text(f)} AS INTEGER), CAST({sql_text(n)} AS INTEGER), {sql_text(e)})" for k, (_, o, f, n, e) in enumerate(BLOCKS))
+
+
+@query("c20_block_verdict", f"SELECT event_id, o AS overall, f AS first_bad, n AS n_steps, e AS parse_error FROM events JOIN (VALUES {BLOCK_SQL}) r(k, o, f, n, e) ON event_id % {len(BLOCKS)} = k")
 def c20_block(spark, sf_dir):
-    n = F.col("event_id")
-    bad = F.when(n % 2 == 0, "step_3=incorrect\nSTEP_2 = Incorrect\nstep_1=correct").otherwise(F.concat(F.lit("First_Bad="), F.col("user_id").cast("string")))
-    said = F.when(n % 3 == 0, F.concat(F.lit("so\n[FINAL]\noverall = Incorrect\n"), bad, F.lit("\n[/FINAL] overall=correct"))).when(n % 3 == 1, "[final]\nOVERALL=correct").otherwise("overall=correct")
-    choice = F.when(n % 4 == 0, "B? \\boxed{ a }").when(n % 4 == 1, "The answer is B.").when(n % 4 == 2, " tie, I say").otherwise("neither")
-    return t(spark, sf_dir, "events").select("event_id", rp.block_verdict(said).alias("x"), rp.pair_choice(choice).alias("choice")).select("event_id", "x.*", "choice")
+    x = t(spark, sf_dir, "events").select("event_id", rp.block_verdict(one_of([b[0] for b in BLOCKS])).alias("x"))
+    return x.select("event_id", "x.overall", "x.first_bad", F.when(F.col("x.step_verdicts").isNotNull(), F.size("x.step_verdicts")).alias("n_steps"), "x.parse_error")
+
+
+CHOICES = [
+    ("[FINAL]\nPREFERRED = b\nCONFIDENCE=1.7\nREASON=x\n[/FINAL]", "B", 1.0, None), ("[FINAL]\nPREFERRED=C\n[/FINAL]", "PARSE_ERROR", None, "invalid_preferred: C"), ("[FINAL]\nCONFIDENCE=sure\nPREFERRED=A\n[/FINAL]", "PARSE_ERROR", None, "invalid_confidence: sure"),
+    ("[FINAL]\nREASON=none\n[/FINAL]", "PARSE_ERROR", None, "preferred_missing"), ("so \\boxed{ tie }", "TIE", None, None), ("My choice: a, confidence = 0.75", "A", 0.75, None), (" B it is. Confidence: 1", "B", 1.0, None),
+    ("In the end candidate B is clearly better", "B", None, None), ("both are equally flawed", "TIE", None, None), ("no idea", "PARSE_ERROR", None, "final_block_missing"),
+]
+CHOICE_SQL = ", ".join(f"({k}, {sql_text(p)}, CAST({sql_text(c)} AS DOUBLE), {sql_text(e)})" for k, (_, p, c, e) in enumerate(CHOICES))
+
 
+@query("c20_a30_pair_choice", f"""SELECT event_id, p AS preferred, c AS confidence, e AS parse_error, CASE WHEN p = 'TIE' THEN 'tie' WHEN p NOT IN ('A', 'B') THEN 'parse_error' WHEN (p = 'A') = (user_id % 2 = 0) THEN 'chosen' ELSE 'rejected' END AS decision FROM events JOIN (VALUES {CHOICE_SQL}) r(k, p, c, e) ON event_id % {len(CHOICES)} = k""")
+def c20_choice(spark, sf_dir):
+    x = t(spark, sf_dir, "events").select("event_id", "user_id", rp.pair_choice(one_of([c[0] for c in CHOICES])).alias("x")).select("event_id", "user_id", "x.*")
+    return x.select("event_id", "preferred", "confidence", "parse_error", rp.debiased(F.col("preferred"), F.col("user_id") % 2 == 1).alias("decision"))
 
-@query("c21_stitch", "SELECT conv_id, turn, rtrim(text, ' ') || chr(10) || ltrim(role, ' ') AS stitched FROM conversations")
+
+@query("c21_stitch", r"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role ELSE rtrim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || role END AS stitched FROM conversations")
 def c21(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", rp.stitch(F.concat("text", F.lit("  ")), F.concat(F.lit(" "), F.col("role"))).alias("stitched"))
+    first = F.when(F.col("turn") % 3 == 0, " \n").otherwise(F.concat("text", F.lit("  \n")))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", rp.stitch(first, F.concat(F.lit(" \t"), F.col("role"))).alias("stitched"))
+
+
+SIGNALS = [("So the final answer: 4", True, False), ("we get 3 apples", False, False), ("thus #### 5", True, False), ("it is \\boxed{2}", True, False), ("the sum is -3/4 ", True, False), ("Answer - YES", False, True), (" no ", False, True), ("", False, False), ("verdict: false, so", False, True)]
+SIGNAL_SQL = ", ".join(f"({k}, {m}, {b}, {len(x) > 0})" for k, (x, m, b) in enumerate(SIGNALS))
+
+
+@query("c21_recovery", f"SELECT event_id, m AS math, b AS binary, o AS other, NOT m AND event_id % 2 = 0 AND user_id % 3 > 0 AS recover FROM events JOIN (VALUES {SIGNAL_SQL}) r(k, m, b, o) ON event_id % {len(SIGNALS)} = k")
+def c21_recovery(spark, sf_dir):
+    said = one_of([s[0] for s in SIGNALS])
+    need = rp.needs_recovery(said, "math", F.col("event_id") % 2 == 0, F.col("user_id") % 3 > 0)
+    return t(spark, sf_dir, "events").select("event_id", *(rp.answer_signal(said, k).alias(k) for k in ("math", "binary", "other")), need.alias("recover"))
 
 
-@query("j12_graph_incidence", """WITH e AS (SELECT doc_id || ':' || step AS node, pair_confidence FROM d_pairs UNION ALL SELECT doc_id || ':' || (step + 1), pair_confidence FROM d_pairs)
-SELECT node, count(*) AS degree, round(sum(pair_confidence), 9) AS weight FROM e GROUP BY node""")
+@query("j12_graph_incidence", """WITH e AS (SELECT pair_id, source_tag, domain_tag, chosen_text AS t, pair_confidence AS w, step AS safe, NULL AS bad FROM d_pairs UNION ALL SELECT pair_id, source_tag, domain_tag, rejected_text, pair_confidence, NULL, step + 1 FROM d_pairs),
+n AS (SELECT *, substr(sha256(source_tag || chr(10) || '<SEP>' || chr(10) || domain_tag), 1, 16) AS pool, substr(sha256(source_tag || chr(10) || '<SEP>' || chr(10) || domain_tag || chr(10) || '<SEP>' || chr(10) || t), 1, 20) AS candidate FROM e)
+SELECT pool, candidate, count(*) AS degree, round(sum(w), 6) AS weight, max(safe) AS max_safe, min(bad) AS min_bad, round(sum(CASE WHEN safe IS NOT NULL THEN w ELSE 0 END) / sum(w), 6) AS utility FROM n GROUP BY 1, 2""")
 def j12(spark, sf_dir):
-    d = F.col("doc_id").cast("string")
-    ends = F.array(F.concat_ws(":", d, F.col("step").cast("string")), F.concat_ws(":", d, (F.col("step") + 1).cast("string")))
-    return rounded(d_pairs(spark, sf_dir).select(F.explode(ends).alias("node"), "pair_confidence").groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("pair_confidence").alias("weight")))
+    p = d_pairs(spark, sf_dir).select("source_tag", F.col("domain_tag").alias("prompt_text"), "chosen_text", "rejected_text", "pair_confidence", F.col("step").alias("positive_step"), (F.col("step") + 1).alias("negative_step"))
+    g = rp.candidate_graph(p)
+    return g.select("pool", "candidate", "degree", F.round("weight", 6).alias("weight"), "max_safe", "min_bad", F.round("utility", 6).alias("utility"))
 
 
 @query("j18_before_after", """SELECT a.n_regionkey, round(a.v, 6) AS before, round(b.v, 6) AS after, round(b.v - a.v, 6) AS delta FROM (SELECT n_regionkey, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) a JOIN (SELECT n_regionkey, avg(s_acctbal) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) b ON a.n_regionkey = b.n_regionkey""")
