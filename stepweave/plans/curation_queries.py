@@ -7,43 +7,47 @@ from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix
 from ..operators import curation as cu
+from .pair_queries import SIGN_SQL, signed
 from .registry import d_pairs, d_predictions, d_steps, d_traces, query, t
 from .trace_queries import rounded
 
 FLAGS_SQL = r"""f AS (SELECT pair_id, source_tag, domain_tag, semantics, pair_confidence, length(c) AS nc, length(r) AS nr, greatest(length(c), length(r)) / greatest(least(length(c), length(r)), 1) AS ratio,
-  c <> r AS differ, list_filter(list_distinct(string_split(lower(c), ' ')), lambda x: x <> '') AS a, list_filter(list_distinct(string_split(lower(r), ' ')), lambda x: x <> '') AS b
+  c <> r AS differ, list_filter(list_distinct(string_split(c, ' ')), lambda x: x <> '') AS a, list_filter(list_distinct(string_split(r, ' ')), lambda x: x <> '') AS b
   FROM (SELECT *, trim(regexp_replace(chosen_text, '\s+', ' ', 'g')) AS c, trim(regexp_replace(rejected_text, '\s+', ' ', 'g')) AS r FROM d_pairs)),
 g AS (SELECT *, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS overlap FROM f)"""
 
 
 @query("f1_quality_flags", f"WITH {FLAGS_SQL} SELECT pair_id, CAST(nc AS INTEGER) AS chosen_chars, CAST(nr AS INTEGER) AS rejected_chars, round(ratio, 9) AS length_ratio, round(overlap, 9) AS token_overlap_ratio, nc > 0 AND nr > 0 AS non_empty, differ AS distinct_pair FROM g")
 def f1(spark, sf_dir):
-    p = d_pairs(spark, sf_dir).select("pair_id", cu.quality_flags(F.col("chosen_text"), F.col("rejected_text")).alias("q")).select("pair_id", "q.*").drop("prompt_chars")
-    return rounded(p)
+    return rounded(cu.quality_flags(d_pairs(spark, sf_dir).select("pair_id", "chosen_text", "rejected_text")).select("pair_id", "q.*").drop("prompt_chars"))
 
 
 @query("f2_quality_filter", f"WITH {FLAGS_SQL} SELECT pair_id FROM g WHERE differ AND nc >= 12 AND nr >= 12 AND ratio <= 4.0 AND overlap <= 0.995")
 def f2(spark, sf_dir):
-    p = d_pairs(spark, sf_dir).withColumn("q", cu.quality_flags(F.col("chosen_text"), F.col("rejected_text")))
-    return p.where(cu.passes_quality(F.col("q"))).select("pair_id")
+    return cu.quality_flags(d_pairs(spark, sf_dir).select("pair_id", "chosen_text", "rejected_text")).where(cu.passes_quality(F.col("q"))).select("pair_id")
 
 
-@query("f3_s12_confidence_head", "SELECT pair_id, source_tag, round(pair_confidence, 9) AS pair_confidence FROM d_pairs WHERE pair_confidence >= 0.55 AND source_tag IN ('src0', 'src1', 'src2', 'src3') ORDER BY pair_id LIMIT 300")
+@query("f3_s12_confidence_head", "SELECT pair_id, source_tag, domain_tag, round(pair_confidence, 9) AS pair_confidence FROM d_pairs WHERE pair_confidence >= 0.55 AND source_tag IN ('src0', 'src1', 'src2', 'src3') AND domain_tag IN ('en', 'fr') ORDER BY pair_id LIMIT 300")
 def f3(spark, sf_dir):
-    p = d_pairs(spark, sf_dir).where((F.col("pair_confidence") >= 0.55) & F.col("source_tag").isin("src0", "src1", "src2", "src3"))
-    return rounded(p.select("pair_id", "source_tag", "pair_confidence").orderBy("pair_id").limit(300))
+    from ..sources.readers import canonical_pairs
+
+    p = canonical_pairs(d_pairs(spark, sf_dir).select("pair_id", "source_tag", "domain_tag", "pair_confidence"), 0.55, ["src0", "src1", "src2", "src3"], 300, domains=["en", "fr"])
+    return rounded(p)
 
 
 @query("f4_oracle_filter_reasons", """
-WITH o AS (SELECT coalesce(p.semantics, 'unspecified') AS semantics, a.score AS cs, b.score AS rs FROM d_pairs p JOIN d_traces a ON a.example_id = p.doc_id AND a.step = p.step JOIN d_traces b ON b.example_id = p.doc_id AND b.step = p.step + 1)
-SELECT semantics, coalesce(CASE WHEN cs < 0.5 THEN 'chosen_low' WHEN rs > 0.6 THEN 'rejected_high' WHEN cs - rs < 0.1 THEN 'margin_low' END, 'kept') AS reason, count(*) AS n FROM o GROUP BY ALL""")
+WITH o AS (SELECT coalesce(p.semantics, 'unspecified') AS semantics, CASE WHEN p.step % 11 = 0 THEN NULL ELSE a.score END AS cs, b.score AS rs FROM d_pairs p JOIN d_traces a ON a.example_id = p.doc_id AND a.step = p.step JOIN d_traces b ON b.example_id = p.doc_id AND b.step = p.step + 1),
+r AS (SELECT semantics, CASE WHEN cs IS NULL OR rs IS NULL THEN 'missing_step_scores' WHEN cs < 0.5 THEN 'chosen_low' WHEN rs > 0.6 THEN 'rejected_high' WHEN cs - rs < 0.1 THEN 'margin_low' ELSE 'kept' END AS reason FROM o)
+SELECT semantics, reason, count(*) AS n, sum(CAST(count(*) FILTER (reason = 'kept') AS BIGINT)) OVER (PARTITION BY semantics)::BIGINT AS kept, sum(count(*)) OVER (PARTITION BY semantics)::BIGINT AS total FROM r GROUP BY semantics, reason""")
 def f4(spark, sf_dir):
     # the teacher's scores of a pair's two sides are neighbours in its trace: one window, no join
     tr = d_traces(spark, sf_dir)
-    own = tr.withColumn("rs", F.lead("score").over(W.partitionBy("example_id").orderBy("step"))).select(F.col("example_id").alias("doc_id"), "step", F.col("score").alias("cs"), "rs")
+    own = tr.withColumn("rs", F.lead("score").over(W.partitionBy("example_id").orderBy("step"))).select(F.col("example_id").alias("doc_id"), "step", F.when(F.col("step") % 11 != 0, F.col("score")).alias("cs"), "rs")
     p = d_pairs(spark, sf_dir).select("doc_id", "step", F.coalesce("semantics", F.lit("unspecified")).alias("semantics")).join(own, ["doc_id", "step"])
-    reason = cu.first_reason([("chosen_low", F.col("cs") >= 0.5), ("rejected_high", F.col("rs") <= 0.6), ("margin_low", F.col("cs") - F.col("rs") >= 0.1)])
-    return p.groupBy("semantics", F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    reason = cu.first_reason([("missing_step_scores", F.col("cs").isNotNull() & F.col("rs").isNotNull()), ("chosen_low", F.col("cs") >= 0.5), ("rejected_high", F.col("rs") <= 0.6), ("margin_low", F.col("cs") - F.col("rs") >= 0.1)])
+    n = p.groupBy("semantics", F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("semantics")  # a row for each reason
+    return n.withColumns({"kept": F.coalesce(F.sum(F.when(F.col("reason") == "kept", F.col("n"))).over(w), F.lit(0)), "total": F.sum("n").over(w)})
 
 
 @query("f6_semantic_allow_list", "SELECT pair_id, semantics FROM d_pairs WHERE coalesce(semantics, 'unspecified') IN ('local', 'terminal', 'unspecified')")
@@ -62,17 +66,36 @@ def f13(spark, sf_dir):
     return e.where(F.forall("embedding", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))).select("vec_id", F.size("embedding").cast("long").alias("width"))
 
 
-@query("f14_recipe_risk", """
-WITH m AS (SELECT count(*) AS n, avg(CASE WHEN semantics = 'terminal' THEN 1.0 ELSE 0 END) AS terminal, avg(CASE WHEN semantics IS NULL THEN 1.0 ELSE 0 END) AS unspecified, count(DISTINCT semantics) AS kinds FROM d_pairs)
-SELECT code, severity, round(value, 9) AS value FROM (SELECT 'terminal_heavy' AS code, 'high' AS severity, terminal AS value FROM m WHERE terminal > 0.2 UNION ALL SELECT 'many_unspecified', 'medium', unspecified FROM m WHERE unspecified > 0.1 UNION ALL SELECT 'single_kind', 'high', kinds FROM m WHERE kinds < 2 UNION ALL SELECT 'rows', 'info', n FROM m)""")
-def f14(spark, sf_dir):
-    m = d_pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg((F.coalesce("semantics", F.lit("")) == "terminal").cast("double")).alias("terminal"), F.avg(F.col("semantics").isNull().cast("double")).alias("unspecified"), F.countDistinct("semantics").alias("kinds"))
+#: Kinds of pairs by the names that the recipe rules know.
+KINDS_SQL = "CASE coalesce(semantics, '') WHEN 'local' THEN 'local_first_bad_edge' WHEN 'sibling' THEN 'sibling_branch' WHEN 'terminal' THEN 'terminal_completion_anchor' ELSE 'good_bad_prefix_grid' END"
+
+
+def kinds(p):
+    k = F.coalesce("semantics", F.lit(""))
+    return p.withColumn("pair_semantics", F.when(k == "local", "local_first_bad_edge").when(k == "sibling", "sibling_branch").when(k == "terminal", "terminal_completion_anchor").otherwise("good_bad_prefix_grid"))
+
+
+RECIPES = [("logit", "semantic", "ranking_score"), ("score", "none", "pair_acc"), ("logit", "confidence", "pair_acc"), ("score", "group_balance", "ranking_score")]
+RECIPE_SQL = f"""rc AS (SELECT * FROM (VALUES {', '.join(str(r) for r in RECIPES)}) v(space, weights, metric)),
+pk AS (SELECT source_tag, {KINDS_SQL} AS kind FROM d_pairs WHERE CASE source_tag WHEN 'src0' THEN semantics = 'local' WHEN 'src1' THEN semantics IN ('local', 'sibling') ELSE true END),
+fr AS (SELECT source_tag, count(*) AS n, count(DISTINCT kind) AS kinds, avg(CASE WHEN kind = 'terminal_completion_anchor' THEN 1.0 ELSE 0 END) AS terminal, avg(CASE WHEN kind = 'good_bad_prefix_grid' THEN 1.0 ELSE 0 END) AS grid, avg(CASE WHEN kind IN ('local_first_bad_edge', 'sibling_branch') THEN 1.0 ELSE 0 END) AS near FROM pk GROUP BY source_tag),
+ru AS (SELECT fr.*, rc.*, weights IN ('semantic', 'confidence_semantic', 'group_balance', 'confidence_group_balance') AS semantic, kinds > 1 AS mixed FROM fr, rc)"""
 
-    def rule(code, severity, value, hit):
-        return F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), value.cast("double").alias("value")))
 
-    found = F.array_compact(F.array(rule("terminal_heavy", "high", F.col("terminal"), F.col("terminal") > 0.2), rule("many_unspecified", "medium", F.col("unspecified"), F.col("unspecified") > 0.1), rule("single_kind", "high", F.col("kinds"), F.col("kinds") < 2), rule("rows", "info", F.col("n"), F.lit(True))))
-    return rounded(m.select(F.explode(found).alias("f")).select("f.*"))
+@query("f14_recipe_risk", f"""WITH {RECIPE_SQL}, f AS (SELECT *, list_filter([
+  CASE WHEN space = 'logit' AND semantic AND metric = 'ranking_score' AND mixed THEN 'ANTI_PATTERN_G_FULL' END, CASE WHEN space = 'logit' AND mixed AND terminal > 0 THEN 'LOGIT_MIXED_TERMINAL' END,
+  CASE WHEN metric = 'ranking_score' AND mixed THEN 'RANKING_SCORE_MIXED' END, CASE WHEN semantic AND mixed AND terminal >= 0.05 THEN 'SEMANTIC_WEIGHT_MIXED_TERMINAL' END,
+  CASE WHEN mixed AND grid >= 0.25 AND space = 'logit' THEN 'LOGIT_WIDE_GEOMETRY' END, CASE WHEN near >= 0.8 AND NOT terminal > 0 AND NOT semantic THEN 'LOCAL_SIGNAL_CLEAN' END], lambda x: x IS NOT NULL) AS codes FROM ru)
+SELECT source_tag, space, weights, metric, array_to_string(codes, ',') AS codes, CASE WHEN list_contains(codes, 'ANTI_PATTERN_G_FULL') THEN 'critical' WHEN list_has_any(codes, ['LOGIT_MIXED_TERMINAL', 'RANKING_SCORE_MIXED', 'SEMANTIC_WEIGHT_MIXED_TERMINAL']) THEN 'high' WHEN list_contains(codes, 'LOGIT_WIDE_GEOMETRY') THEN 'medium' ELSE 'info' END AS max_severity, round(terminal, 9) AS terminal_fraction FROM f""")
+def f14(spark, sf_dir):
+    from ..operators.recipes import pair_shares, recipe_risk
+
+    s = F.col("source_tag")
+    p = kinds(d_pairs(spark, sf_dir).where(F.when(s == "src0", F.coalesce(F.col("semantics") == "local", F.lit(False))).when(s == "src1", F.coalesce(F.col("semantics").isin("local", "sibling"), F.lit(False))).otherwise(True)))
+    recipes = F.explode(F.array(*(F.struct(F.lit(a).alias("space"), F.lit(b).alias("weights"), F.lit(c).alias("metric")) for a, b, c in RECIPES)))
+    rows = pair_shares(p, ["source_tag"]).select("*", recipes.alias("r")).select("*", "r.*")
+    out = recipe_risk(rows)
+    return rounded(out.select("source_tag", "space", "weights", "metric", F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"), "max_severity", F.col("terminal").alias("terminal_fraction")))
 
 
 @query("f10_semi_join", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
@@ -130,12 +153,18 @@ def d9(spark, sf_dir):
 
 
 @query("d10_stratified_split", """
-WITH r AS (SELECT example_id, row_number() OVER (PARTITION BY generator, label < 0 ORDER BY sha256('42:' || example_id)) AS n, count(*) OVER (PARTITION BY generator, label < 0) AS k FROM d_traces WHERE step = 0)
-SELECT example_id, CASE WHEN n <= floor(k * 0.7) THEN 'train' WHEN n <= floor(k * 0.85) THEN 'validation' ELSE 'test' END AS split FROM r""")
+WITH r AS (SELECT example_id, row_number() OVER (PARTITION BY generator, label < 0 ORDER BY sha256('42:' || example_id)) AS n, count(*) OVER (PARTITION BY generator, label < 0) AS k FROM d_traces WHERE step = 0),
+s AS (SELECT *, greatest(1, round_even(k * 0.15, 0)) AS d FROM r), z AS (SELECT example_id, n, CASE WHEN k >= 6 THEN CASE WHEN 2 * d >= k THEN greatest(1, k // 4) ELSE d END WHEN k >= 3 THEN 1 ELSE 0 END AS nd, CASE WHEN k >= 6 THEN CASE WHEN 2 * d >= k THEN greatest(1, k // 4) ELSE d END WHEN k >= 4 THEN 1 ELSE 0 END AS nt FROM s)
+SELECT example_id, CASE WHEN n <= nd THEN 'validation' WHEN n <= nd + nt THEN 'test' ELSE 'train' END AS split FROM z""")
 def d10(spark, sf_dir):
-    w = W.partitionBy("generator", F.col("label") < 0)
-    r = d_traces(spark, sf_dir).where("step = 0").withColumns({"n": F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit("42:"), F.col("example_id").cast("string")), 256))), "k": F.count(F.lit(1)).over(w)})
-    return r.select("example_id", F.when(F.col("n") <= F.floor(F.col("k") * 0.7), "train").when(F.col("n") <= F.floor(F.col("k") * 0.85), "validation").otherwise("test").alias("split"))
+    r = d_traces(spark, sf_dir).where("step = 0").select("example_id", F.concat_ws("|", "generator", (F.col("label") < 0).cast("string")).alias("stratum"))
+    return cu.stratified_split(r, "stratum", "example_id").select("example_id", "split")
+
+
+@query("k7_sample_in_input_order", "SELECT doc_id, step FROM (SELECT doc_id, step, row_number() OVER (ORDER BY sha256('42|mix|' || pair_id), pair_id) AS n FROM d_pairs) WHERE n <= 120")
+def k7(spark, sf_dir):
+    p = d_pairs(spark, sf_dir).select("doc_id", "step", "pair_id")
+    return cu.hash_sample(p, "pair_id", 120, "42|mix").orderBy("doc_id", "step").select("doc_id", "step")
 
 
 @query("d11_split_alias_s11", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'validation' WHEN event_type = 'click' THEN 'train' END AS split FROM events")
@@ -154,10 +183,12 @@ def k2(spark, sf_dir):
     return cu.round_robin_cap(d_pairs(spark, sf_dir).select("pair_id", "source_tag"), "source_tag", "pair_id", 333)
 
 
-@query("k3_quota_by_semantics", "SELECT pair_id, semantics FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(semantics, 'u') ORDER BY doc_id, step) AS n FROM d_pairs) WHERE n <= CASE WHEN semantics = 'terminal' THEN 40 ELSE 100 END")
+@query("k3_quota_by_semantics", "SELECT pair_id, semantics FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(semantics, 'u') ORDER BY doc_id, step) AS n FROM d_pairs) WHERE n <= CASE WHEN semantics = 'terminal' THEN 30 WHEN semantics = 'local' THEN 170 ELSE 0 END")
 def k3(spark, sf_dir):
-    p = d_pairs(spark, sf_dir).withColumn("u", F.coalesce("semantics", F.lit("u")))
-    return cu.quota_by_key(p, "u", F.struct("doc_id", "step"), F.when(F.col("u") == "terminal", 40).otherwise(100)).select("pair_id", "semantics")
+    quotas = cu.semantic_quotas(200, "local", "terminal", 0.15)
+    p = d_pairs(spark, sf_dir).where(F.col("semantics").isin(*quotas))
+    quota = F.when(F.col("semantics") == "terminal", quotas["terminal"]).otherwise(quotas["local"])
+    return cu.first_by_key(p, "semantics", ["doc_id", "step"], quota, max(quotas.values())).select("pair_id", "semantics")
 
 
 @query("k4_even_quotas", "WITH k AS (SELECT DISTINCT source FROM documents) SELECT source, CAST(floor(333 / (SELECT count(*) FROM k)) + CASE WHEN row_number() OVER (ORDER BY source) <= 333 % (SELECT count(*) FROM k) THEN 1 ELSE 0 END AS INTEGER) AS quota FROM k")
@@ -181,18 +212,20 @@ def k6(spark, sf_dir):
 
 @query("k8_keep_ratio", "SELECT pair_id, semantics FROM (SELECT pair_id, semantics, row_number() OVER (PARTITION BY semantics ORDER BY pair_confidence DESC, pair_id) AS n, count(*) OVER (PARTITION BY semantics) AS k FROM d_pairs WHERE semantics IS NOT NULL) WHERE n <= greatest(1, ceil(k * CASE semantics WHEN 'local' THEN 0.7 WHEN 'sibling' THEN 0.65 ELSE 0.35 END))")
 def k8(spark, sf_dir):
-    p = d_pairs(spark, sf_dir).where("semantics is not null")
+    p = d_pairs(spark, sf_dir).where("semantics is not null").select("pair_id", "semantics", "pair_confidence")
     ratio = F.when(F.col("semantics") == "local", 0.7).when(F.col("semantics") == "sibling", 0.65).otherwise(0.35)
-    return cu.quota_by_key(p, "semantics", F.struct(-F.col("pair_confidence"), F.col("pair_id")), F.greatest(F.lit(1), F.ceil(F.col("_all") * ratio))).select("pair_id", "semantics")
+    slot = cu.range_slot(F.col("pair_confidence"), 0.0, 1.0, falling=True)
+    return cu.quota_by_key(p, "semantics", [F.desc("pair_confidence"), "pair_id"], F.greatest(F.lit(1), F.ceil(F.col("_all") * ratio)), slot).select("pair_id", "semantics")
 
 
 @query("k9_terminal_cap", """
 WITH c AS (SELECT greatest(1, floor(count(*) FILTER (coalesce(semantics, '') <> 'terminal') * 0.12 / 0.88)) AS cap FROM d_pairs)
 SELECT pair_id FROM (SELECT pair_id, coalesce(semantics, '') = 'terminal' AS term, row_number() OVER (PARTITION BY coalesce(semantics, '') = 'terminal' ORDER BY pair_confidence DESC, pair_id) AS n FROM d_pairs), c WHERE NOT term OR n <= cap""")
 def k9(spark, sf_dir):
-    p = d_pairs(spark, sf_dir).withColumn("term", F.coalesce("semantics", F.lit("")) == "terminal")
+    p = d_pairs(spark, sf_dir).select("pair_id", "pair_confidence", (F.coalesce("semantics", F.lit("")) == "terminal").alias("term"))
     cap = p.agg(cu.terminal_cap(F.count_if(~F.col("term")), 0.12).alias("cap"))
-    kept = p.where("term").crossJoin(F.broadcast(cap)).withColumn("n", F.row_number().over(W.orderBy(F.desc("pair_confidence"), "pair_id"))).where("n <= cap").select("pair_id")
+    slot = cu.range_slot(F.col("pair_confidence"), 0.0, 1.0, falling=True)
+    kept = cu.ranked(p.where("term"), "term", [F.desc("pair_confidence"), "pair_id"], slot).crossJoin(F.broadcast(cap)).where("_n <= cap").select("pair_id")
     return p.where("not term").select("pair_id").unionByName(kept)
 
 
@@ -211,12 +244,21 @@ def k11(spark, sf_dir):
     return m.where("margin <= 0").orderBy("margin", "score", "example_id").limit(50).select("example_id", "step", F.round("margin", 9).alias("margin"))
 
 
-@query("k12_w15_stratified_spread", """
-WITH r AS (SELECT example_id, label < 0 AS good, row_number() OVER (PARTITION BY label < 0 ORDER BY example_id) AS n, count(*) OVER (PARTITION BY label < 0) AS k FROM d_traces WHERE step = 0)
-SELECT example_id, good FROM r WHERE n IN (SELECT round_even(i * (k - 1) / 39.0, 0) + 1 FROM generate_series(0, 39) AS s(i))""")
+def spread_sql(n: str) -> str:
+    return f"(CASE WHEN k <= {n} THEN true WHEN {n} <= 1 THEN i = 1 ELSE i IN (SELECT round_even(j * (k - 1) / ({n} - 1.0), 0) + 1 FROM range(0, CAST({n} AS BIGINT)) x(j)) END)"
+
+
+@query("k12_w15_stratified_spread", f"""
+WITH r AS (SELECT example_id, label < 0 AS good, row_number() OVER (PARTITION BY label < 0 ORDER BY example_id) AS i, count(*) OVER (PARTITION BY label < 0) AS k FROM d_traces WHERE step = 0),
+c AS (SELECT count(*) FILTER (good) AS ng, count(*) FILTER (NOT good) AS nb FROM r), g AS (SELECT *, least(ng, greatest(1, round_even(90.0 * ng / (ng + nb), 0))) AS g FROM c), b AS (SELECT *, least(nb, greatest(1, 90 - g)) AS b FROM g),
+z AS (SELECT CASE WHEN nb - b >= ng - g THEN g ELSE least(ng, g + greatest(90 - g - b, 0)) END AS wg, CASE WHEN nb - b >= ng - g THEN least(nb, b + greatest(90 - g - b, 0)) ELSE b END AS wb FROM b)
+SELECT example_id, good FROM r, z WHERE (good AND {spread_sql('wg')}) OR (NOT good AND {spread_sql('wb')})""")
 def k12(spark, sf_dir):
-    r = d_traces(spark, sf_dir).where("step = 0").withColumn("good", F.col("label") < 0)
-    return cu.spread_select(r, "good", "example_id", 40).select("example_id", "good")
+    r = d_traces(spark, sf_dir).where("step = 0").select("example_id", "label")
+    top = r.agg(F.max("example_id").alias("top"))
+    slot = cu.range_slot(F.col("example_id"), 0.0, F.col("top") + 1)
+    out = cu.stratified_spread(r.crossJoin(F.broadcast(top)), F.col("label") >= 0, "example_id", 90, slot)
+    return out.select("example_id", (F.col("label") < 0).alias("good"))
 
 
 @query("k15_best_epoch", "SELECT l_suppkey, max_by(l_orderkey, l_extendedprice) AS best, min_by(l_orderkey, l_extendedprice) AS worst FROM lineitem GROUP BY l_suppkey")
@@ -229,12 +271,12 @@ def k16(spark, sf_dir):
     return t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("latest"), F.max("ts").alias("ts"))
 
 
-@query("w14_source_interleave", "SELECT pair_id, source_tag, CAST(row_number() OVER (PARTITION BY source_tag ORDER BY sha256('epoch|' || pair_id)) AS INTEGER) AS turn FROM d_pairs")
+@query("w14_source_interleave", "SELECT pair_id, source_tag, CAST(turn AS INTEGER) AS turn, row_number() OVER (ORDER BY turn, source_tag) - 1 AS position FROM (SELECT pair_id, source_tag, row_number() OVER (PARTITION BY source_tag ORDER BY sha256('epoch|' || pair_id)) AS turn FROM d_pairs)")
 def w14(spark, sf_dir):
     return cu.interleave(d_pairs(spark, sf_dir).select("pair_id", "source_tag"), "source_tag", cu.hash_order("epoch", F.col("pair_id")))
 
 
-@query("w1_g3_prefixes", "SELECT doc_id, step, sha256(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY step)) AS prefix_sha, CAST(length(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY step)) AS INTEGER) AS prefix_chars FROM d_steps WHERE step < 12")
+@query("w1_g3_prefixes", "SELECT doc_id, step, sha256(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY step)) AS prefix_sha, CAST(length(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY step)) AS INTEGER) AS prefix_chars FROM d_steps")
 def w1(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
     kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
@@ -243,7 +285,8 @@ def w1(spark, sf_dir):
     return rows.select("doc_id", "step", F.sha2(prefix, 256).alias("prefix_sha"), F.length(prefix).alias("prefix_chars"))
 
 
-@query("w20_first_difference", """SELECT a.doc_id, a.step, CAST(min(CASE WHEN substr(a.line, i, 1) <> substr(b.line, i, 1) THEN i END) AS INTEGER) AS first_difference FROM d_steps a JOIN d_steps b ON a.doc_id = b.doc_id AND b.step = a.step + 1, generate_series(1, 12) AS s(i) GROUP BY a.doc_id, a.step""")
+@query("w20_first_difference", """WITH p AS (SELECT a.doc_id, a.step, a.line AS x, b.line AS y, least(length(a.line), length(b.line)) AS n FROM d_steps a JOIN d_steps b ON a.doc_id = b.doc_id AND b.step = a.step + 1)
+SELECT doc_id, step, CAST(CASE WHEN x = y THEN NULL ELSE coalesce(list_position(list_transform(range(1, n + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)), true), n + 1) END AS INTEGER) AS first_difference FROM p""")
 def w20(spark, sf_dir):
     p = d_pairs(spark, sf_dir)
     a, b = F.col("chosen_text"), F.col("rejected_text")
@@ -291,14 +334,12 @@ def j8(spark, sf_dir):
     return rounded(a.join(b, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(x & ~y).alias("yes_to_no"), F.count_if(~x & y).alias("no_to_yes"), (F.count_if(x != y) / F.count(F.lit(1))).alias("flip_rate")))
 
 
-@query("g9_nearest_negative", """WITH s AS (SELECT doc_id, step, step % 4 = 3 AS neg FROM d_steps WHERE step < 40)
-SELECT p.doc_id, p.step AS positive, arg_min(n.step, abs(n.step - p.step) * 1000 + n.step) AS negative FROM s p JOIN s n ON p.doc_id = n.doc_id AND NOT p.neg AND n.neg GROUP BY p.doc_id, p.step""")
+@query("g9_nearest_negative", f"""WITH {SIGN_SQL} SELECT p.key AS doc_id, p.step AS positive, arg_min(n.step, struct_pack(d := abs(n.step - p.step), s := n.step)) AS negative FROM s p JOIN s n ON p.key = n.key AND p.sign = '+' AND n.sign = '-' GROUP BY p.key, p.step""")
 def g9(spark, sf_dir):
-    s = d_steps(spark, sf_dir).groupBy("doc_id").agg(F.max("step").alias("last"))
-    steps = F.sequence(F.lit(0), F.col("last"))
-    neg = F.filter(steps, lambda i: i % 4 == 3)
-    rows = s.select("doc_id", neg.alias("neg"), F.explode(F.filter(steps, lambda i: i % 4 != 3)).alias("positive")).where(F.size("neg") > 0)
-    return rows.select("doc_id", "positive", F.array_min(F.transform("neg", lambda n: F.struct(F.abs(n - F.col("positive")), n.alias("n"))))["n"].alias("negative"))
+    from ..operators.pairs import step_places
+
+    found = signed(spark, sf_dir).select("key", F.explode(step_places("legacy_nearest", F.col("signs"), 0)).alias("p"))
+    return found.select(F.col("key").alias("doc_id"), F.col("p.good").alias("positive"), F.col("p.bad").alias("negative"))
 
 
 @query("g18_turn_pairs", """SELECT conv_id, turn, role, next_role, sha256(text || '||' || next_text) AS pair_id FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")

@@ -18,11 +18,40 @@ def c2(spark, sf_dir):
     return d_steps(spark, sf_dir).select("doc_id", "step", tx.normal_answer(F.col("line")).alias("answer"))
 
 
-@query("c3_yes_no", r"""SELECT event_id, CASE WHEN v IN ('yes', 'true', '1') THEN 'yes' WHEN v IN ('no', 'false', '0') THEN 'no' ELSE v END AS answer FROM (
-  SELECT event_id, trim(lower(CASE event_id % 5 WHEN 0 THEN ' Yes. ' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' WHEN 3 THEN 'No!' ELSE event_type END), ' .,!;:') AS v FROM events)""")
+def cases(rows: list[tuple], types: list[str]) -> str:
+    """SQL values (k, ...) of literal cases; the first column of a case, its text, is left out."""
+
+    def told(x, kind: str) -> str:
+        if x is None:
+            return f"CAST(NULL AS {kind})"
+        return f"CAST({x!r} AS {kind})" if not isinstance(x, str) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    return ", ".join(f"({k}, {', '.join(told(x, kind) for x, kind in zip(r[1:], types, strict=True))})" for k, r in enumerate(rows))
+
+
+def case_of(rows: list[tuple], column: int = 0):
+    """The text of the case that an event's number picks."""
+    return F.element_at(F.array(*(F.lit(r[column]) for r in rows)), (F.col("event_id") % len(rows) + 1).cast("int"))
+
+
+def cased(rows: list[tuple], names: list[str], types: list[str]) -> str:
+    return f"SELECT event_id, {', '.join(names)} FROM events JOIN (VALUES {cases(rows, types)}) r(k, {', '.join(names)}) ON event_id % {len(rows)} = k"
+
+
+YES_NO = [(" Yes. ", "yes"), ("FALSE", "no"), ("1", "yes"), ("No!", "no"), ("0;", "no"), ("True,", "yes"), ("not  sure.", "not sure"), ("", ""), ("yes no", "yes no")]
+
+
+@query("c3_yes_no", cased(YES_NO, ["answer"], ["VARCHAR"]))
 def c3(spark, sf_dir):
-    said = F.when(F.col("event_id") % 5 == 0, " Yes. ").when(F.col("event_id") % 5 == 1, "FALSE").when(F.col("event_id") % 5 == 2, "1").when(F.col("event_id") % 5 == 3, "No!").otherwise(F.col("event_type"))
-    return t(spark, sf_dir, "events").select("event_id", tx.yes_no(said).alias("answer"))
+    return t(spark, sf_dir, "events").select("event_id", tx.yes_no(case_of(YES_NO)).alias("answer"))
+
+
+NUMBERS = [("$1,234.50$", "1234.5", "1234.5"), ("`7`", "7", "7"), ("3/8", "0.375", "0.375"), ("1/0", None, None), (" 2e3 ", "2000", "2000"), ("abc", None, None), ("1/3", "0.3333333333333333333333333333", "0.3333333333333333333333333333"), (".5", "0.5", "0.5"), ("+7", "7", "7"), ("1,000/8", "125", "125"), ("1 2", None, "1"), ("10 meters", None, "10"), ("$140 in all", None, "140"), ("-0", "-0", "-0"), ("2/3 cups", None, "0.6666666666666666666666666667"), ("123456789012345678901234567890", "123456789012345678901234567900", "123456789012345678901234567900")]
+
+
+@query("c4_c5_numbers", cased(NUMBERS, ["strict", "relaxed"], ["VARCHAR", "VARCHAR"]))
+def c4_cases(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", tx.canonical_number(case_of(NUMBERS)).alias("strict"), tx.relaxed_number(case_of(NUMBERS)).alias("relaxed"))
 
 
 @query("c4_canonical_number", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS number FROM lineitem")
@@ -36,11 +65,12 @@ def c5(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", tx.first_number(F.col("url")).alias("number"))
 
 
-@query("c6_last_boxed", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN '{' || o_custkey || '}' ELSE CAST(o_custkey AS VARCHAR) END AS boxed FROM orders")
+BOXES = [("\\boxed{1} so \\boxed{{2}}.", "{2}"), ("\\boxed{ 3 } \\boxed{", "3"), ("none", None), ("\\boxed 4 {5}", "5"), ("}} \\boxed{a{b}c} {", "a{b}c"), ("\\boxed{\\frac{1}{2}}", "\\frac{1}{2}"), ("\\boxed{x \\boxed{y} z}", "y"), ("\\boxed{}", "")]
+
+
+@query("c6_last_boxed", cased(BOXES, ["boxed"], ["VARCHAR"]))
 def c6(spark, sf_dir):
-    c = F.col("o_custkey").cast("string")
-    said = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("\\boxed{"), c)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("\\boxed{1} so \\boxed{{"), c, F.lit("}}."))).otherwise(F.concat(F.lit("\\boxed{ "), c, F.lit(" } \\boxed{")))
-    return t(spark, sf_dir, "orders").select("o_orderkey", tx.last_boxed(said).alias("boxed"))
+    return t(spark, sf_dir, "events").select("event_id", tx.last_boxed(case_of(BOXES)).alias("boxed"))
 
 
 @query("c7_cut_leak", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE rtrim(text, ' ') END AS kept FROM conversations")
@@ -57,18 +87,20 @@ def said_column():
     return F.when(n == 0, "Yes.").when(n == 1, F.concat(F.lit("no, because "), e)).when(n == 2, "Well. Answer: yes. Final answer - NO").when(n == 3, F.concat(F.lit("it is true that "), e, F.lit(" is false"))).when(n == 4, F.concat(e, F.lit("!"))).otherwise("")
 
 
-@query("c8_extract_yes_no", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'no' WHEN 3 THEN 'no' WHEN 4 THEN event_type ELSE '' END AS text,
-  CASE event_id % 6 WHEN 0 THEN 'strategyqa_yes_no' WHEN 1 THEN 'strategyqa_yes_no' WHEN 2 THEN 'strategyqa_final_answer_tag' WHEN 3 THEN 'strategyqa_last_binary_token' ELSE 'plain_text_fallback' END AS method, event_id % 6 >= 4 AS parse_error FROM events""")
+BINARY_REPLIES = [("Yes.", "yes", "strategyqa_yes_no", False), ("no, because", "no", "strategyqa_yes_no", False), ("Well. Answer: yes. Final answer - NO", "no", "strategyqa_final_answer_tag", False), ("it is true that x is false", "no", "strategyqa_last_binary_token", False), ("Perhaps!", "perhaps", "plain_text_fallback", True), ("", "", "plain_text_fallback", True), ("true human: no", "yes", "strategyqa_yes_no", False), ("Final Answer: TRUE\n[USER] no", "yes", "strategyqa_final_answer_tag", False)]
+
+
+@query("c8_extract_yes_no", cased(BINARY_REPLIES, ["text", "method", "parse_error"], ["VARCHAR", "VARCHAR", "BOOLEAN"]))
 def c8(spark, sf_dir):
-    return t(spark, sf_dir, "events").select("event_id", tx.extract_yes_no(said_column()).alias("x")).select("event_id", "x.*")
+    return t(spark, sf_dir, "events").select("event_id", tx.extract_yes_no(case_of(BINARY_REPLIES)).alias("x")).select("event_id", "x.*")
 
 
-@query("c9_extract_math", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN o_custkey || '/7' WHEN 3 THEN '-' || o_custkey ELSE 'none' END AS text,
-  CASE o_orderkey % 5 WHEN 0 THEN 'final_answer_tag' WHEN 1 THEN 'gsm8k_hash_marker' WHEN 2 THEN 'boxed' WHEN 3 THEN 'last_number' ELSE 'plain_text_fallback' END AS method, o_orderkey % 5 = 4 AS parse_error FROM orders""")
+MATH_REPLIES = [("So 3. The final answer is: $12.0 apples\nand 9", "12", "final_answer_tag", False), ("2 #### 5 #### $7$", "7", "gsm8k_hash_marker", False), ("4 \\boxed{3/7} 8", "3/7", "boxed", False), ("1 then -5.", "-5", "last_number", False), ("None.", "none", "plain_text_fallback", True), ("Final answer: x + y", "x + y", "final_answer_tag", False), ("Final answer is 1,200", "1200", "final_answer_tag", False)]
+
+
+@query("c9_extract_math", cased(MATH_REPLIES, ["text", "method", "parse_error"], ["VARCHAR", "VARCHAR", "BOOLEAN"]))
 def c9(spark, sf_dir):
-    c, n = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 5
-    said = F.when(n == 0, F.concat(F.lit("So 3. The final answer is: $"), c, F.lit(".0 apples\nand 9"))).when(n == 1, F.concat(F.lit("2 #### 5 #### $"), c, F.lit("$"))).when(n == 2, F.concat(F.lit("4 \\boxed{"), c, F.lit("/7} 8"))).when(n == 3, F.concat(F.lit("1 then -"), c, F.lit("."))).otherwise("None.")
-    return t(spark, sf_dir, "orders").select("o_orderkey", tx.extract_math(said).alias("x")).select("o_orderkey", "x.*")
+    return t(spark, sf_dir, "events").select("event_id", tx.extract_math(case_of(MATH_REPLIES)).alias("x")).select("event_id", "x.*")
 
 
 @query("c10_extract_plain", r"SELECT doc_id, step, trim(regexp_replace(lower(line), '\s+', ' ', 'g'), ' .,!;:') AS text, 'plain_text_fallback' AS method, trim(regexp_replace(lower(line), '\s+', ' ', 'g'), ' .,!;:') = '' AS parse_error FROM d_steps")
@@ -91,9 +123,9 @@ def c12(spark, sf_dir):
     return d_lines(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), F.posexplode(parts).alias("step", "sentence")).select("doc_id", "step", "line_no", "sentence")
 
 
-@query("c13_strip_list_marks", r"""SELECT doc_id, step, trim(regexp_replace(regexp_replace(regexp_replace(CASE step % 4 WHEN 0 THEN '- ' WHEN 1 THEN (step + 1) || '. ' WHEN 2 THEN 'Step ' || step || ': ' ELSE '' END || line, '^\s*[-*•]\s+', ''), '^\s*\(?\d+[.)]\s+', ''), '^\s*[sS][tT][eE][pP]\s*\d+\s*[:.)-]\s*', '')) AS line FROM d_steps""")
+@query("c13_strip_list_marks", r"""SELECT doc_id, step, trim(regexp_replace(regexp_replace(regexp_replace(CASE step % 4 WHEN 0 THEN '- ' WHEN 1 THEN '* ' || (step + 1) || '. ' WHEN 2 THEN '(b)  ' ELSE '' END || line, '^[-*]\s+', ''), '^\d+[\.)]\s+', ''), '^\([a-zA-Z]\)\s+', ''), ' ') AS line FROM d_steps""")
 def c13(spark, sf_dir):
-    mark = F.when(F.col("step") % 4 == 0, "- ").when(F.col("step") % 4 == 1, F.concat((F.col("step") + 1).cast("string"), F.lit(". "))).when(F.col("step") % 4 == 2, F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(": "))).otherwise("")
+    mark = F.when(F.col("step") % 4 == 0, "- ").when(F.col("step") % 4 == 1, F.concat(F.lit("* "), (F.col("step") + 1).cast("string"), F.lit(". "))).when(F.col("step") % 4 == 2, "(b)  ").otherwise("")
     return d_steps(spark, sf_dir).select("doc_id", "step", tx.strip_list_mark(F.concat(mark, F.col("line"))).alias("line"))
 
 
@@ -110,21 +142,25 @@ def c15(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", tx.problem_prefix(said).alias("problem"))
 
 
-@query("c16_signs", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CASE WHEN value > 0 THEN '+' ELSE '-' END WHEN event_id % 4 = 1 THEN '+' WHEN event_id % 4 = 2 THEN '-' END AS sign FROM events")
+SIGNS = [("+", "+"), (" Correct ", "+"), ("false", "-"), ("maybe", None), ("1", "+"), ("0", "-"), ("2", None), ("NEGATIVE", "-"), ("", None)]
+
+
+@query("c16_signs", f"SELECT event_id, sign, CASE WHEN value > 10 THEN '+' ELSE '-' END AS number_sign FROM events JOIN (VALUES {cases(SIGNS, ['VARCHAR'])}) r(k, sign) ON event_id % {len(SIGNS)} = k")
 def c16(spark, sf_dir):
-    n = F.col("event_id") % 4
-    said = F.when(n == 0, F.col("value").cast("string")).when(n == 1, " Correct ").when(n == 2, "false").otherwise("maybe")
-    return t(spark, sf_dir, "events").select("event_id", tx.sign_of(said).alias("sign"))
+    return t(spark, sf_dir, "events").select("event_id", tx.sign_of(case_of(SIGNS)).alias("sign"), tx.sign_of_number(F.col("value") - 10).alias("number_sign"))
+
 
+TAGGED = [("Final answer: yes", 1, 0, False), ("answer: yes then Answer: no, final answer: Yes", 3, 2, False), ("answer: true. Answer: NO", 2, 1, True), ("nothing", 0, 0, False), ("Answer: no\nAnswer: false", 2, 0, False), ("the answer: maybe", 0, 0, False)]
 
-@query("c18_final_tags_a26", """
-WITH g AS (SELECT user_id, list(CASE event_id % 6 WHEN 2 THEN 1 ELSE 0 END) AS x, count(*) AS n, count(*) FILTER (event_id % 6 = 2) AS tagged FROM events GROUP BY user_id)
-SELECT user_id, n, tagged, CAST(0 AS BIGINT) AS switched, round(tagged / n, 9) AS tagged_rate FROM g""")
+
+@query("c18_a26_instability", f"""WITH x AS (SELECT event_type, n, sw, dis, event_id % 3 = 0 AS ok, event_id % 10 = 0 AS bad FROM events JOIN (VALUES {cases(TAGGED, ['BIGINT', 'BIGINT', 'BOOLEAN'])}) r(k, n, sw, dis) ON event_id % {len(TAGGED)} = k)
+SELECT event_type, count(*) AS n_total, count(*) FILTER (ok) AS n_correct, round(count(*) FILTER (bad) / count(*), 9) AS parse_error_rate, count(*) FILTER (n > 0) AS n_with_final_tag, count(*) FILTER (n > 1) AS n_multi_final_tag, count(*) FILTER (dis) AS n_first_last_disagree, count(*) FILTER (sw > 0) AS n_with_tag_switch, round(avg(n), 9) AS mean_tags_all, round(sum(n) / greatest(count(*) FILTER (n > 0), 1), 9) AS mean_tags_tagged, round(sum(sw) / greatest(count(*) FILTER (n > 0), 1), 9) AS mean_switches_tagged FROM x GROUP BY event_type""")
 def c18(spark, sf_dir):
-    tags = t(spark, sf_dir, "events").select("user_id", tx.final_tags(said_column()).alias("tags"))
-    switched = F.exists(F.sequence(F.lit(1), F.greatest(F.size("tags") - 1, F.lit(1))), lambda i: F.coalesce(F.get(F.col("tags"), i) != F.get(F.col("tags"), i - 1), F.lit(False)))
-    g = tags.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("tags") > 0).alias("tagged"), F.count_if(switched).alias("switched"))
-    return g.withColumn("tagged_rate", F.round(F.col("tagged") / F.col("n"), 9))
+    from ..operators.metrics import instability
+
+    rows = t(spark, sf_dir, "events").select("event_type", tx.final_tags(case_of(TAGGED)).alias("tags"), (F.col("event_id") % 3 == 0).alias("is_correct"), (F.col("event_id") % 10 == 0).alias("parse_error"))
+    out = instability(rows, "event_type")
+    return out.select("event_type", "n_total", "n_correct", F.round("parse_error_rate", 9).alias("parse_error_rate"), "n_with_final_tag", "n_multi_final_tag", "n_first_last_disagree", "n_with_tag_switch", *(F.round(c, 9).alias(c) for c in ("mean_tags_all", "mean_tags_tagged", "mean_switches_tagged")))
 
 
 AUX = tx.AUXILIARIES
@@ -164,7 +200,35 @@ def c23(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("c24_page_links", r"""SELECT page_id, count(*) AS n_links, min(u) AS first_link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS u FROM pages) GROUP BY page_id""")
+LINKS = [("See [a](https://arxiv.org/abs/1234.5678), and https://openreview.net/forum?id=x).", "https://arxiv.org/abs/1234.5678 https://openreview.net/forum?id=x", 2), ("<https://x.org/a>; again https://x.org/a.", "https://x.org/a", 0), ("no link", "", 0), ("http://aclanthology.org/P1, http://y.org/b]", "http://aclanthology.org/P1 http://y.org/b", 1)]
+
+
+@query("c24_markdown_links", cased(LINKS, ["urls", "papers"], ["VARCHAR", "INTEGER"]))
 def c24(spark, sf_dir):
-    found = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).alias("u"))
-    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("u").alias("first_link"))
+    u = tx.urls(case_of(LINKS))
+    return t(spark, sf_dir, "events").select("event_id", F.array_join(u, " ").alias("urls"), F.size(F.filter(u, tx.is_paper)).alias("papers"))
+
+
+ANSWERS = [("1,200", "1200.0004", True), ("x", "X ", True), ("\\frac{1}{2}", "\\left\\frac{1}{ 2}", True), ("3", "3.002", False), (None, "1", False), ("(1)/(2)", "\\frac{1}{2}", True), ("2\\cdot x", "2*x", True), ("a", "b", False), ("1/2", "0.5", False)]
+
+
+@query("c22_answers_match", cased([(a, c) for a, _, c in ANSWERS], ["same"], ["BOOLEAN"]))
+def c22(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", tx.answers_match(case_of(ANSWERS), case_of(ANSWERS, 1)).alias("same"))
+
+
+SOLUTIONS = [("so 3 #### 1,250\nmore", "1250", None), ("we have 4 and 5.5", "5.5", None), ("\\boxed{x+1} then 9", "9", "x+1"), ("none", None, None)]
+
+
+@query("c22_solution_answers", cased(SOLUTIONS, ["marked", "boxed"], ["VARCHAR", "VARCHAR"]))
+def c22_solutions(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", tx.solution_answer(case_of(SOLUTIONS)).alias("marked"), tx.first_box(case_of(SOLUTIONS)).alias("boxed"))
+
+
+@query("c19_entity_and_drop_g4", r"""SELECT doc_id, step, CASE WHEN n > 0 THEN 'Then Lisa Bell met ' || n || ' and Paul' END AS swapped, CASE WHEN step > 0 THEN 'kept' END AS dropped FROM (SELECT doc_id, step, step % 3 AS n FROM d_steps)""")
+def c19_entity(spark, sf_dir):
+    n = F.col("step") % 3
+    line = F.concat(F.lit("Then Anna met "), n.cast("string"), F.lit(" and Paul"))
+    pool = F.when(n > 0, F.array(F.lit("then anna"), F.lit("Then Lisa Bell"))).otherwise(F.array(F.lit("Then anna"), F.lit("PAUL")))
+    kept = tx.drop_last_step(F.array(*(F.lit(x) for x in ("kept", "gone"))))
+    return d_steps(spark, sf_dir).select("doc_id", "step", F.when(n > 0, tx.swap_entity(line, pool)).alias("swapped"), F.when(F.col("step") > 0, kept).alias("dropped"))

@@ -28,7 +28,10 @@ def test_other_readers(spark):
     drop = spark.createDataFrame([("1", "p", None, ["s"]), ("2", "p", "q", ["t", "u"])], "query_id string, passage string, question string, spans array<string>")
     assert [r.question for r in readers.passages(drop).orderBy("id").collect()] == ["Passage: p", "Passage: p\nQuestion: q"]
     lines = spark.createDataFrame([(i, "" if i % 3 == 0 else f"v{i}") for i in range(24)], "line_no int, value string")
-    assert [len(r.lines) for r in readers.eight_line_records(lines).collect()] == [8, 8]
+    assert [(r.idx, r.context, r.options[0], r.correct_option) for r in readers.eight_line_records(lines, 5).orderBy("idx").collect()] == [(0, "v4.", "v7", -1), (1, "v16.", "v19", -1)]
+    raw = ["", "b.", "It isn\\'t  so", "Is it?", "A. x", "B. y", "z", "D. w"]
+    one = readers.eight_line_records(spark.createDataFrame(list(enumerate(["q", *raw[1:], "left over"])), "line_no int, value string")).first()
+    assert (one.context, one.query, one.options, one.correct_option) == ("It isn't so.", "Is it?", ["x", "y", "z", "w"], 1)
 
 
 def test_artifacts(spark, tmp_path):
@@ -49,7 +52,7 @@ def test_pair_converters(spark):
     assert [(r.step, r.chosen, r.rejected, r.confidence) for r in pairs.rated_pairs(rated).orderBy("step").collect()] == [(0, "g", "b", 0.78), (1, "z", "w", 0.70)]
     errors = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "y"], [2, 9])], "key int, original array<string>, modified array<string>, error_steps array<int>")
     got = pairs.error_step_pairs(errors, one_based=True).collect()
-    assert [(r.at, r.chosen, r.rejected) for r in got] == [(1, "a\nb", "a\nx")]
+    assert [(r.at, r.chosen, r.rejected) for r in got] == [(1, "a\nb\n", "a\nx\n")]
     assert pairs.index_base(errors).first().base == "one"
 
 
