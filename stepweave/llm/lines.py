@@ -126,11 +126,14 @@ def possibly(rows: DataFrame, wanted: DataFrame, column: str = "node", bits: int
     """The rows whose column (a hash) may be among wanted's: a bitmap of a fixed size, which every task gets, lets through a few more."""
     slot = F.pmod(F.col(column), F.lit(bits))
     page = 32_768  # bits of a bitmap_construct_agg
-    maps = wanted.select((slot / page).cast("int").alias("_page"), (slot % page).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    marked = rows.withColumns({"_slot": slot, "_page": (slot / page).cast("int")}).join(F.broadcast(maps), "_page")  # bits / page rows of 4 KB at most
-    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_slot % {page} as int) div 8 + 1, 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col("_slot") % 8).cast("int") + 1)) != 0
-    return marked.where(hit).drop("_slot", "_page", "_map")
+    bits_of = wanted.select((slot / page).cast("int").alias("_page"), (slot % page).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    # as 64-bit words, first byte first, so that a test is a shift: bits / page rows of 4 KB at most
+    words = F.transform(F.sequence(F.lit(0), F.lit(page // 64 - 1)), lambda i: F.conv(F.hex(F.substring("_map", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    marked = rows.withColumns({"_slot": slot, "_page": (slot / page).cast("int")}).join(F.broadcast(bits_of.select("_page", words.alias("_words"))), "_page")
+    at = (F.col("_slot") % page).cast("int")
+    inside = F.lit(56) - F.shiftright(at % 64, 3) * 8 + at % 8
+    hit = F.call_function("shiftright", F.get("_words", F.shiftright(at, 6)), inside).bitwiseAND(F.lit(1).cast("long")) != 0
+    return marked.where(hit).drop("_slot", "_page", "_words")
 
 
 def _let(value: Column, f) -> Column:
@@ -153,6 +156,7 @@ def alike(a: Column, b: Column, edits: int) -> Column:
 def blocks(rows: DataFrame, block: int = BLOCK_NODES, most_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rows (bucket, node, line, ...) as often as their part of a bucket meets another: with _blocks (parts of the bucket), _own (the row's part), _i and _j (what meets)."""
     sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.octet_length("line")) / most_bytes)).cast("int").alias("_blocks"))
+    sizes = settled(sizes, "line-blocks")  # a table of its own, so that a large bucket can be split where it is joined
     dealt = rows.join(sizes, "bucket").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     return dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_i": F.least("_own", "_with"), "_j": F.greatest("_own", "_with")}).drop("_with")
 
