@@ -129,9 +129,9 @@ def a37(spark, sf_dir):
 
 
 @query("a40_j17_delta_to_baseline", """WITH r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'C2' WHEN 1 THEN 'D_teacher' WHEN 2 THEN 'D_run' ELSE 'C1' END AS kind, o_orderpriority AS dataset, CASE o_custkey % 5 WHEN 0 THEN 'C2_STRATEGYQA_CQR_FULL' WHEN 1 THEN 'C2_STRATEGYQA_QUALITY_FIRST_FULL' WHEN 2 THEN 'C2_STRATEGYQA_CQR_SMOKE' ELSE 'other' END AS group_id,
-  epoch_us(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey AS ts, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice / 600000 END AS pb, o_totalprice / 500000 AS br, CASE WHEN o_custkey % 7 > 0 THEN o_totalprice / 700000 END AS acc, o_custkey % 100 / 100.0 AS auc FROM orders),
+  epoch_us(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey AS ts, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice / 524288 END AS pb, o_totalprice / 262144 AS br, CASE WHEN o_custkey % 7 > 0 THEN o_totalprice / 1048576 END AS acc, o_custkey % 100 / 128.0 AS auc FROM orders),
 b AS (SELECT dataset, pb, acc, auc FROM r WHERE kind = 'C2' QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY CASE group_id WHEN 'C2_STRATEGYQA_CQR_FULL' THEN 0 WHEN 'C2_STRATEGYQA_QUALITY_FIRST_FULL' THEN 1 WHEN 'C2_STRATEGYQA_CQR_SMOKE' THEN 2 ELSE 3 END, ts DESC) = 1)
-SELECT r.id, r.kind, round(CASE WHEN r.kind[1] = 'D' THEN coalesce(r.pb, r.br) - b.pb END, 6) AS delta_posthoc_brier, round(CASE WHEN r.kind[1] = 'D' THEN r.acc - b.acc END, 6) AS delta_pair_acc, round(CASE WHEN r.kind[1] = 'D' THEN r.auc - b.auc END, 6) AS delta_auc FROM r LEFT JOIN b ON r.dataset = b.dataset""")
+SELECT r.id, r.kind, round(CASE WHEN r.kind[1] = 'D' THEN coalesce(r.pb, r.br) - b.pb END, 9) AS delta_posthoc_brier, round(CASE WHEN r.kind[1] = 'D' THEN r.acc - b.acc END, 9) AS delta_pair_acc, round(CASE WHEN r.kind[1] = 'D' THEN r.auc - b.auc END, 9) AS delta_auc FROM r LEFT JOIN b ON r.dataset = b.dataset""")
 def a40(spark, sf_dir):
     from ..operators.recipes import baseline_deltas
 
@@ -140,9 +140,9 @@ def a40(spark, sf_dir):
     group = F.when(c % 5 == 0, "C2_STRATEGYQA_CQR_FULL").when(c % 5 == 1, "C2_STRATEGYQA_QUALITY_FIRST_FULL").when(c % 5 == 2, "C2_STRATEGYQA_CQR_SMOKE").otherwise("other")
     at = F.date_format(F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     p = F.col("o_totalprice")
-    rows = t(spark, sf_dir, "orders").select(k.alias("id"), kind.alias("kind"), F.col("o_orderpriority").alias("dataset"), group.alias("group_id"), at.alias("generated_at"), F.when(c % 3 > 0, p / 600000).alias("posthoc_brier"), (p / 500000).alias("brier"), F.when(c % 7 > 0, p / 700000).alias("corr_pair_acc"), (c % 100 / 100.0).alias("corr_auc"))
+    rows = t(spark, sf_dir, "orders").select(k.alias("id"), kind.alias("kind"), F.col("o_orderpriority").alias("dataset"), group.alias("group_id"), at.alias("generated_at"), F.when(c % 3 > 0, p / 524288).alias("posthoc_brier"), (p / 262144).alias("brier"), F.when(c % 7 > 0, p / 1048576).alias("corr_pair_acc"), (c % 100 / 128.0).alias("corr_auc"))
     out = baseline_deltas(rows)
-    return out.select("id", "kind", *(F.round(x, 6).alias(x) for x in ("delta_posthoc_brier", "delta_pair_acc", "delta_auc")))
+    return out.select("id", "kind", *(F.round(x, 9).alias(x) for x in ("delta_posthoc_brier", "delta_pair_acc", "delta_auc")))
 
 
 @query("w10_w11_primary_candidate", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_discount DESC, l_extendedprice DESC, l_partkey, l_linenumber) AS n FROM lineitem) WHERE n <= 2")
