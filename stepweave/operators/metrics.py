@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import beta_rate, clip, share
 from .curation import range_slot, ranked
+from .reports import quantiles
 
 
 def accuracy_report(rows: DataFrame, correct: Column, failed: Column, by: str) -> DataFrame:
@@ -66,8 +67,10 @@ def calibration(rows: DataFrame, p: str, y: str, by: list[str] | None = None, bi
 
 
 def margin_summary(rows: DataFrame, margin: str, by: list[str]) -> DataFrame:
+    """Per group of margins (from -1 to 1): count, share above 0, share at 0 or above, mean and median."""
     m = F.col(margin)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((m > 0).cast("double")).alias("pair_accuracy"), F.avg((m >= 0).cast("double")).alias("with_ties"), F.avg(m).alias("mean_margin"), F.expr(f"percentile({margin}, 0.5)").alias("median_margin"))
+    s = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((m > 0).cast("double")).alias("pair_accuracy"), F.avg((m >= 0).cast("double")).alias("with_ties"), F.avg(m).alias("mean_margin"))
+    return s.join(quantiles(rows, by, margin, {"median_margin": 0.5}, -1.0, 1.0), by)
 
 
 def isotonic_blocks(rows: DataFrame, score: str, target: str, weight: str | None = None) -> DataFrame:

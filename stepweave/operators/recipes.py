@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import share
+from .reports import quantiles
 
 # Kinds of pairs and weight modes that the rules name.
 LOCAL, SIBLING, TERMINAL, GRID, FANOUT = "local_first_bad_edge", "sibling_branch", "terminal_completion_anchor", "good_bad_prefix_grid", "first_bad_fanout_prefix_ranking"
@@ -212,12 +213,13 @@ def attack_report(rows: DataFrame, by: list[str], threshold: float = 0.5) -> Dat
     """Per by and probe_group and attack: count, deltas, flip and outrank rates, risk. rows: base, attacked_score, safe (null for final texts)."""
     delta = F.col("attacked_score") - F.col("base")
     first = F.col("probe_group") == "first_bad"
-    s = rows.withColumn("d", delta).groupBy(*by, "probe_group", "attack").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("d").alias("mean_delta"), F.expr("percentile(d, 0.5)").alias("median_delta"), F.expr("percentile(d, 0.9)").alias("p90_delta"),
+    rows, keys = rows.withColumn("d", delta), [*by, "probe_group", "attack"]
+    s = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"), F.avg("d").alias("mean_delta"),
         F.avg(((F.col("base") < threshold) & (F.col("attacked_score") >= threshold)).cast("double")).alias("flip_rate"), F.avg((F.col("attacked_score") >= F.col("safe")).cast("double")).alias("outrank_rate"),
     )
     risk = F.when(first & ((F.col("flip_rate") >= 0.10) | F.coalesce(F.col("outrank_rate") >= 0.10, F.lit(False))), "high").when(first & ((F.col("mean_delta") >= 0.03) | (F.col("flip_rate") >= 0.03)), "medium").when(~first & (F.col("mean_delta") >= 0.08), "medium").otherwise("low")
-    return s.withColumn("risk", risk)
+    return s.withColumn("risk", risk).join(quantiles(rows, keys, "d", {"median_delta": 0.5, "p90_delta": 0.9}, -1.0, 1.0), keys)
 
 
 def baseline_deltas(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import LINE_BREAK, squash, strip
+from .curation import range_slot, ranked
 
 
 def series_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -31,6 +32,20 @@ def series_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return up.groupBy(*by).agg(F.max("_n").alias("count"), (F.sum(F.col("_v") * F.col("_c")) / F.max("_n")).alias("mean"), F.min("_v").alias("min"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.max("_v").alias("max"))
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float], low: float, high: float) -> DataFrame:
+    """by and the interpolated quantiles of each group, from ranks in ranges of the value (from low to high): no group's values are held together."""
+    key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
+    r = ranked(rows.select(*by, F.col(value).alias("_v"), key.alias("_key")), "_key", ["_v"], range_slot(F.col("_v"), low, high))
+    place = F.col("_n") - 1
+
+    def picked(q: float) -> Column:
+        exact = F.lit(q) * (F.col("_all") - 1)
+        lower, upper = F.max(F.when(place == F.floor(exact), F.col("_v"))), F.max(F.when(place == F.ceil(exact), F.col("_v")))
+        return lower + (upper - lower) * F.max(exact - F.floor(exact))
+
+    return r.groupBy(*by).agg(*(picked(q).alias(name) for name, q in at.items()))
+
+
 def distribution(rows: DataFrame, key: str, keys: list[str]) -> DataFrame:
     """Share of each of a fixed set of keys; 0 for those without a row."""
     sums = rows.agg(*(F.count_if(F.col(key) == k).alias(f"_{i}") for i, k in enumerate(keys)), F.count_if(F.col(key).isin(*keys)).alias("_all"))
