@@ -326,3 +326,16 @@ def teacher_inputs(rows: DataFrame, system: str, separator: str) -> DataFrame:
     asked = rows.withColumn("_q", question)
     text = F.concat(F.lit(f"{system}\n"), F.col("_q"), F.lit("\n"), F.array_join(F.transform("steps", lambda s: F.concat(s, F.lit(separator))), ""))
     return asked.withColumn("error", error).withColumns({"input_text": F.when(F.col("error").isNull(), text), "question_fallback": F.col("error").isNull() & blank}).drop("_q")
+
+
+def finite_rows(rows: DataFrame, vectors: list[str], policy: str = "drop") -> DataFrame:
+    """Rows whose vectors are all finite; with error the reading fails at the first other row."""
+    ok = F.lit(True)
+    for v in vectors:
+        ok = ok & F.coalesce(F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    if policy == "drop":
+        return rows.where(ok)
+    if policy != "error":
+        raise ValueError(f"unknown policy {policy}")
+    first = rows.columns[0]
+    return rows.withColumn(first, F.when(ok, F.col(first)).otherwise(F.raise_error(F.concat(F.lit("non-finite vectors of "), F.col(first).cast("string")))))

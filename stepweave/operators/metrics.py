@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import beta_rate, clip, share
+from ..functions.stats import bce_with_logits, beta_rate, clip, share
 from .curation import range_slot, ranked
 from .reports import quantiles
 
@@ -233,3 +233,28 @@ def instability(rows: DataFrame, by: str) -> DataFrame:
     counts = {"n_correct": F.col("is_correct"), "n_parse_error": F.col("parse_error"), "n_with_final_tag": F.col("n") > 0, "n_multi_final_tag": F.col("n") > 1, "n_first_last_disagree": F.col("d"), "n_with_tag_switch": F.col("s") > 0}
     rates = {"accuracy": "n_correct", "parse_error_rate": "n_parse_error", "with_final_tag_rate": "n_with_final_tag", "multi_final_tag_rate": "n_multi_final_tag", "first_last_disagree_rate": "n_first_last_disagree", "tag_switch_rate": "n_with_tag_switch"}
     return x.groupBy(by).agg(total.alias("n_total"), *(F.count_if(c).alias(k) for k, c in counts.items()), *(share(F.count_if(counts[c]), total).alias(k) for k, c in rates.items()), F.avg("n").alias("mean_tags_all"), (F.sum("n") / tagged).alias("mean_tags_tagged"), (F.sum("s") / tagged).alias("mean_switches_tagged"))
+
+
+def target_summary(targets: DataFrame, by: str) -> DataFrame:
+    """Per by: number of rollout targets and means of their rates, weights, interval widths and lengths."""
+    return targets.groupBy(by).agg(F.count(F.lit(1)).alias("num_targets"), F.avg("success_rate").alias("mean_success_rate"), F.avg("parseable_rate").alias("mean_parseable_rate"), F.avg("weight").alias("mean_weight"), F.avg("ci_width").alias("mean_ci_width"), F.avg("mean_chars").alias("mean_chars"))
+
+
+def before_after(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
+    """One row over all labels that both have: counts summed first, then rates and their differences. A label of two totals fails the reading."""
+    names = ["n_total", "n_correct", "n_parse_error", "n_correct_parseable"]
+    side = lambda df, s: df.select(label, *(F.col(n).alias(f"{s}_{n}") for n in names))
+    both = side(before, "b").join(side(after, "a"), label)
+    total = F.when(F.col("b_n_total") == F.col("a_n_total"), F.col("b_n_total")).otherwise(F.raise_error(F.concat(F.lit("mismatched totals of "), F.col(label))).cast("long"))
+    s = both.agg(F.sum(total).alias("n_total"), *(F.sum(f"{x}_{n}").alias(f"{x}_{n}") for x in "ba" for n in names[1:]))
+    n = F.col("n_total")
+    parsed = lambda x: share(F.col(f"{x}_n_correct_parseable"), n - F.col(f"{x}_n_parse_error"))
+    return s.select("n_total", (F.col("a_n_correct") - F.col("b_n_correct")).alias("delta_n_correct"), share(F.col("b_n_correct"), n).alias("before_accuracy"), share(F.col("a_n_correct"), n).alias("after_accuracy"), share(F.col("a_n_correct") - F.col("b_n_correct"), n).alias("delta_accuracy"), share(F.col("a_n_parse_error") - F.col("b_n_parse_error"), n).alias("delta_parse_error_rate"), (parsed("a") - parsed("b")).alias("delta_accuracy_parseable"))
+
+
+def fit_temperature(rows: DataFrame, logit: str, target: str, low: float, high: float, points: int) -> DataFrame:
+    """One row: the temperature of an even grid whose mean cross-entropy of logit / temperature is smallest (the lowest of equals), and that loss. All points are sums of one pass."""
+    grid = [low + (high - low) * k / (points - 1) for k in range(points)]
+    losses = rows.agg(*(F.avg(bce_with_logits(F.col(logit) / t, F.col(target))).alias(f"l{k}") for k, t in enumerate(grid)))
+    best = F.array_min(F.array(*(F.struct(F.round(F.col(f"l{k}"), 12).alias("r"), F.lit(t).alias("temperature"), F.col(f"l{k}").alias("loss")) for k, t in enumerate(grid))))
+    return losses.select(best.alias("b")).select("b.temperature", "b.loss")

@@ -59,11 +59,30 @@ def l1_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("key").agg((F.sum("x") - F.sum("y")).alias("d")).agg(F.sum(F.abs("d")).alias("l1"))
 
 
+def number_bucket(value: Column, edges: list[int], labels: list[str]) -> Column:
+    """The label of the first edge that a number does not exceed, the last one beyond; <missing> for null."""
+    out = F.lit(labels[-1])
+    for edge, label in reversed(list(zip(edges, labels, strict=False))):
+        out = F.when(value <= edge, label).otherwise(out)
+    return F.when(value.isNull(), "<missing>").otherwise(out)
+
+
 def by_dimensions(rows: DataFrame, dims: dict[str, Column], margin: Column) -> DataFrame:
-    """dimension, value: n, accuracy, tie_accuracy, wrong_rate and mean margin; all dimensions in one shuffle."""
+    """dimension, value: n, accuracy, tie_accuracy, wrong_rate, mean, median and p10 of margins (from -1 to 1); all dimensions in one shuffle.
+
+    p10 stands at sorted place round((n - 1) / 10), half to even.
+    """
     long = rows.select(margin.alias("m"), F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.cast("string").alias("value")) for k, v in dims.items()))).alias("d")).select("m", "d.*")
+    r = ranked(long.withColumn("_key", F.concat_ws("|", "dimension", "value")), "_key", ["m"], range_slot(F.col("m"), -1.0, 1.0))
     rate = lambda c: F.avg(c.cast("double"))
-    return long.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), rate(F.col("m") > 0).alias("accuracy"), rate(F.col("m") >= 0).alias("tie_accuracy"), rate(F.col("m") <= 0).alias("wrong_rate"), F.avg("m").alias("mean_margin"))
+    place, half = F.col("_n") - 1, (F.col("_all") - 1) / 2
+    median = (F.max(F.when(place == F.floor(half), F.col("m"))) + F.max(F.when(place == F.ceil(half), F.col("m")))) / 2
+    return r.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), rate(F.col("m") > 0).alias("accuracy"), rate(F.col("m") >= 0).alias("tie_accuracy"), rate(F.col("m") <= 0).alias("wrong_rate"), F.avg("m").alias("mean_margin"), median.alias("median_margin"), F.max(F.when(place == F.bround((F.col("_all") - 1) * 0.1), F.col("m"))).alias("p10_margin"))
+
+
+def prefix_summary(prefixes: DataFrame, by: str) -> DataFrame:
+    """Per by: prefixes (steps_seen), those with the question only, and the most steps seen."""
+    return prefixes.groupBy(by).agg(F.count(F.lit(1)).alias("num_prefixes"), F.count_if(F.col("steps_seen") == 0).alias("question_only"), F.max("steps_seen").alias("max_steps_seen"))
 
 
 _VERDICT = StructType([StructField("overall_verdict", StringType()), StructField("first_incorrect_step", IntegerType()), StructField("confidence", DoubleType()), StructField("parse_error", StringType())])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import metrics as me
 from ..operators import reports as rp
 from ..operators import traces as tr
 from .registry import d_pairs, d_rollouts, d_traces, query, t
@@ -29,11 +30,24 @@ def a12(spark, sf_dir):
     return rounded(acc.join(auc, "generator").withColumn("ranking_score", (F.col("pair_accuracy") + F.col("auc")) / 2))
 
 
-@query("a15_pair_errors_by_dimension", f"""WITH p AS (SELECT * FROM ({MARGIN}) WHERE m IS NOT NULL),
-d AS (SELECT 'generator' AS dimension, generator AS value, m FROM p UNION ALL SELECT 'lang', lang, m FROM p UNION ALL SELECT 'early', CAST(step < 3 AS VARCHAR), m FROM p)
-SELECT dimension, value, count(*) AS n, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0 END), 9) AS tie_accuracy, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), 9) AS wrong_rate, round(avg(m), 9) AS mean_margin FROM d GROUP BY ALL""")
+STEP_BUCKETS = ([1, 2, 3, 5], ["<=1", "<=2", "<=3", "<=5", ">5"])
+COUNT_BUCKETS = ([2, 3, 5, 8], ["<=2", "<=3", "<=5", "<=8", ">8"])
+
+
+def bucket_sql(x: str, edges: list[int], labels: list[str]) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '<missing>' " + " ".join(f"WHEN {x} <= {e} THEN '{n}'" for e, n in zip(edges, labels, strict=False)) + f" ELSE '{labels[-1]}' END"
+
+
+@query("a15_pair_errors_by_dimension", f"""WITH n AS (SELECT example_id, count(*) AS k FROM d_traces GROUP BY 1), p AS (SELECT a.*, n.k, CASE WHEN label >= 0 THEN label END AS bad FROM ({MARGIN}) a JOIN n ON n.example_id = a.example_id WHERE m IS NOT NULL),
+d AS (SELECT 'generator' AS dimension, generator AS value, m FROM p UNION ALL SELECT 'lang', lang, m FROM p UNION ALL SELECT 'first_negative', {bucket_sql('bad', *STEP_BUCKETS)}, m FROM p UNION ALL SELECT 'num_steps', {bucket_sql('k', *COUNT_BUCKETS)}, m FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY dimension, value ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY dimension, value) AS n FROM d)
+SELECT dimension, value, count(*) AS n, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0 END), 9) AS tie_accuracy, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), 9) AS wrong_rate, round(avg(m), 9) AS mean_margin, round(quantile_cont(m, 0.5), 9) AS median_margin, round(max(CASE WHEN i = round_even((n - 1) * CAST(0.1 AS DOUBLE), 0) THEN m END), 9) AS p10_margin FROM o GROUP BY 1, 2""")
 def a15(spark, sf_dir):
-    return rounded(rp.by_dimensions(with_margin(spark, sf_dir), {"generator": F.col("generator"), "lang": F.col("lang"), "early": F.col("step") < 3}, F.col("m")))
+    rows = with_margin(spark, sf_dir)
+    n = d_traces(spark, sf_dir).groupBy("example_id").agg(F.count(F.lit(1)).alias("k"))
+    p = rows.join(n, "example_id")
+    dims = {"generator": F.col("generator"), "lang": F.col("lang"), "first_negative": rp.number_bucket(F.when(F.col("label") >= 0, F.col("label")), *STEP_BUCKETS), "num_steps": rp.number_bucket(F.col("k"), *COUNT_BUCKETS)}
+    return rounded(rp.by_dimensions(p, dims, F.col("m")))
 
 
 @query("a16_w19_series_summary", """WITH o AS (SELECT source, n_chars AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
@@ -82,9 +96,50 @@ def a19(spark, sf_dir):
     return rounded(rp.alignment_slices(d_traces(spark, sf_dir)))
 
 
-@query("a41_rollout_summary", "SELECT event_type, count(*) AS n, count(DISTINCT prefix_id) AS n_prefixes, round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0 END), 9) AS mean_correct FROM d_rollouts GROUP BY event_type")
+SUMMARY = """g AS (SELECT prefix_id, split_part(prefix_id, ':', 2) AS kind, count(*) AS k, count(*) FILTER (is_correct) AS c, count(*) FILTER (parse_error) AS pe, avg(chars) AS mc FROM d_rollouts GROUP BY prefix_id), b AS (SELECT *, (c + 1.0) / (k + 2.0) AS q FROM g), e AS (SELECT *, sqrt(q * (1 - q) / (k + 3.0)) AS se FROM b), i AS (SELECT *, greatest(0.0, least(1.0, q + 1.96 * se)) - greatest(0.0, least(1.0, q - 1.96 * se)) AS wd FROM e)"""
+
+
+@query("a41_target_summary", f"WITH {SUMMARY} SELECT kind, count(*) AS num_targets, round(avg(c / k), 9) AS mean_success_rate, round(avg(1 - pe / k), 9) AS mean_parseable_rate, round(avg(greatest(1 - least(wd, 1.0), 0)), 9) AS mean_weight, round(avg(wd), 9) AS mean_ci_width, round(avg(mc), 9) AS mean_chars FROM i GROUP BY kind")
 def a41(spark, sf_dir):
-    return rounded(d_rollouts(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prefix_id").alias("n_prefixes"), F.avg(F.col("is_correct").cast("double")).alias("mean_correct")))
+    targets = me.rollout_targets(d_rollouts(spark, sf_dir)).withColumn("kind", F.substring_index("prefix_id", ":", -1))
+    return rounded(me.target_summary(targets, "kind"))
+
+
+@query("a41_prefix_summary", "SELECT lang AS dataset, count(*) + count(DISTINCT doc_id) AS num_prefixes, count(DISTINCT doc_id) AS question_only, max(step) + 1 AS max_steps_seen FROM d_steps GROUP BY lang")
+def a41_prefixes(spark, sf_dir):
+    return rp.prefix_summary(prefixes(spark, sf_dir), "lang").withColumnRenamed("lang", "dataset")
+
+
+def prefixes(spark, sf_dir):
+    from ..functions.text import prefix_artifacts
+
+    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", kept.alias("k")).where(F.size("k") > 0)
+    return docs.select("doc_id", "lang", F.explode(prefix_artifacts(F.col("doc_id").cast("string"), F.col("k"))).alias("p")).select("doc_id", "lang", "p.*")
+
+
+@query("g3_prefix_artifacts", "WITH s AS (SELECT doc_id, step, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY step) AS txt FROM d_steps), p AS (SELECT doc_id, 0 AS seen, '' AS txt FROM d_steps GROUP BY doc_id UNION ALL SELECT doc_id, step + 1, txt FROM s) SELECT doc_id, CAST(seen AS INTEGER) AS steps_seen, CASE WHEN seen = 0 THEN 'question_only' ELSE 'reasoning_prefix' END AS kind, substr(sha256(doc_id || '||' || seen || '||' || txt), 1, 24) AS prefix_id FROM p")
+def g3(spark, sf_dir):
+    return prefixes(spark, sf_dir).select("doc_id", "steps_seen", "kind", "prefix_id")
+
+
+@query("a37_before_after", """WITH x AS (SELECT l_returnflag AS label, count(*) AS n, count(*) FILTER (l_discount > 0.05) AS bc, count(*) FILTER (l_tax > 0.03) AS ac, count(*) FILTER (l_quantity < 3) AS bp, count(*) FILTER (l_quantity < 2) AS ap, count(*) FILTER (l_discount > 0.05 AND l_quantity >= 3) AS bcp, count(*) FILTER (l_tax > 0.03 AND l_quantity >= 2) AS acp FROM lineitem GROUP BY 1),
+s AS (SELECT sum(n) AS n, sum(bc) AS bc, sum(ac) AS ac, sum(bp) AS bp, sum(ap) AS ap, sum(bcp) AS bcp, sum(acp) AS acp FROM x)
+SELECT CAST(n AS BIGINT) AS n_total, CAST(ac - bc AS BIGINT) AS delta_n_correct, round(bc / n, 9) AS before_accuracy, round(ac / n, 9) AS after_accuracy, round((ac - bc) / n, 9) AS delta_accuracy, round((ap - bp) / n, 9) AS delta_parse_error_rate, round(acp / (n - ap) - bcp / (n - bp), 9) AS delta_accuracy_parseable FROM s""")
+def a37_before_after(spark, sf_dir):
+    r = t(spark, sf_dir, "lineitem")
+    side = lambda ok, bad: r.groupBy(F.col("l_returnflag").alias("label")).agg(F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_correct"), F.count_if(bad).alias("n_parse_error"), F.count_if(ok & ~bad).alias("n_correct_parseable"))
+    return rounded(me.before_after(side(F.col("l_discount") > 0.05, F.col("l_quantity") < 3), side(F.col("l_tax") > 0.03, F.col("l_quantity") < 2), "label"))
+
+
+@query("temperature_fit", """WITH r AS (SELECT greatest(1e-6, least(1 - 1e-6, score)) AS p, CASE WHEN label < 0 OR step < label THEN 1.0 ELSE 0.0 END AS y FROM d_traces), z AS (SELECT ln(p / (1 - p)) AS z, y FROM r),
+g AS (SELECT CAST(0.25 + i * 0.25 AS DOUBLE) AS t FROM range(0, 20) s(i)), l AS (SELECT t, avg(greatest(z / t, 0) - z / t * y + ln(1 + exp(-abs(z / t)))) AS loss FROM z, g GROUP BY t) SELECT t AS temperature, round(loss, 9) AS loss FROM l ORDER BY round(loss, 12), t LIMIT 1""")
+def temperature(spark, sf_dir):
+    from ..functions import stats as st
+
+    y = F.when((F.col("label") < 0) | (F.col("step") < F.col("label")), 1.0).otherwise(0.0)
+    rows = d_traces(spark, sf_dir).select(st.logit(F.col("score")).alias("z"), y.alias("y"))
+    return rounded(me.fit_temperature(rows, "z", "y", 0.25, 5.0, 20))
 
 
 #: Replies by hand, with what is read from them.
