@@ -15,23 +15,6 @@ import brute
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
-    junk = spark.createDataFrame([(10_001, "... 12 ...", "en", "src0", 10), (10_002, None, None, None, None)], docs.schema)
-    copy = docs.limit(1).selectExpr("doc_id + 20000 as doc_id", "concat(text, ' more words at the end') as text", "lang", "source", "n_chars")
-    docs = docs.unionByName(junk).unionByName(copy)
-    before = {r.doc_id for r in docs.collect()}
-    one = P.identify_language(spark, docs, SF)
-    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == before - {10_001, 10_002}
-    two = P.dedup_lines(spark, one, SF)
-    assert two.columns == docs.columns and all(r.n_chars == len(r.text) for r in two.collect())
-    three = P.dedup_documents(spark, docs, SF)
-    kept = [r.doc_id for r in three.collect()]
-    assert three.columns == docs.columns and len(kept) == len(set(kept)) and copy.first().doc_id not in kept
-    four = P.mix_sources(spark, three, SF)
-    assert four.columns == docs.columns and {r.doc_id for r in four.collect()} == set(kept)
-
-
 def test_run_against_brute_force(spark, tmp_path):
     """run() on a small table, stage by stage by the plain versions; lines, copies, sources and junk all change its rows."""
     random.seed(12)
