@@ -33,7 +33,7 @@ MIN_CHARS = 24
 #: Bits of the filters that keep most entries and lines out of shuffles: 4 MB, whatever the input (a full one lets all through).
 FILTER_BITS = 1 << 25
 #: Lines, and bytes of lines, on one side of a block.
-BLOCK_NODES, BLOCK_BYTES = 256, 2 << 20
+BLOCK_NODES, BLOCK_BYTES = 128, 2 << 20
 #: Letters whose counts rule pairs out: an edit changes the sum of their differences by two at most.
 LETTERS = ("eE", "aA", "nN", "iI", "tT", "oO", "rR", "sS", "hH", "lL", "dD", "uU")
 
