@@ -34,7 +34,7 @@ BLOCK_TOKENS = 1 << 18
 #: Documents in a range of the hash, about, at least (the square root of their number if that is more).
 RANGE_ROWS = 1_000
 #: Exponents that a round of the bisection tries, and rounds.
-GRID, ROUNDS = 64, 6
+GRID, ROUNDS = 256, 4
 
 
 @dataclass(frozen=True)
