@@ -263,7 +263,13 @@ def k12(spark, sf_dir):
 
 @query("k15_best_epoch", "SELECT l_suppkey, max_by(l_orderkey, l_extendedprice) AS best, min_by(l_orderkey, l_extendedprice) AS worst FROM lineitem GROUP BY l_suppkey")
 def k15(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.max_by("l_orderkey", "l_extendedprice").alias("best"), F.min_by("l_orderkey", "l_extendedprice").alias("worst"))
+    # of equal prices the first row of the files counts, and rows without an order don't
+    price = F.when(F.col("l_orderkey").isNotNull(), F.col("l_extendedprice"))
+    rows = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", price.alias("p"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    ends = rows.groupBy("l_suppkey").agg(F.max("p").alias("high"), F.min("p").alias("low"))
+    met = rows.join(ends.withColumnRenamed("l_suppkey", "_k"), F.col("l_suppkey").eqNullSafe(F.col("_k")) & ((F.col("p") == F.col("high")) | (F.col("p") == F.col("low")) | F.col("high").isNull()))
+    first = lambda end: F.min(F.when(F.col("p") == F.col(end), F.struct("file", "row", "l_orderkey")))["l_orderkey"]
+    return met.groupBy("l_suppkey").agg(first("high").alias("best"), first("low").alias("worst"))
 
 
 @query("k16_latest_run", "SELECT user_id, max_by(event_id, ts) AS latest, max(ts) AS ts FROM events GROUP BY user_id")

@@ -126,3 +126,14 @@ def test_c19_words_end_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
     assert got == {r[0]: r[2] for r in con.execute(ORACLES["c19_negation"]).fetchall()}
+
+
+def test_k15_first_of_equal_prices(spark, tmp_path):
+    rows = [(1, 10, 5.0), (1, 11, 9.0), (1, 3, 9.0), (1, 12, 5.0), (2, 20, None), (None, 30, 1.0), (None, 31, 1.0), (3, None, 7.0), (3, 40, 2.0), (3, 41, float("nan")), (3, 42, float("nan"))]
+    frame = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_extendedprice double").coalesce(1)
+    frame.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_suppkey: (r.best, r.worst) for r in QUERIES["k15_best_epoch"](spark, str(tmp_path)).collect()}
+    assert got == {1: (11, 10), 2: (None, None), None: (30, 30), 3: (41, 40)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert got == {r[0]: r[1:] for r in con.execute(ORACLES["k15_best_epoch"]).fetchall()}
