@@ -127,13 +127,17 @@ def possibly(rows: DataFrame, wanted: DataFrame, column: str = "node", bits: int
     slot = F.pmod(F.col(column), F.lit(bits))
     page = 32_768  # bits of a bitmap_construct_agg
     bits_of = wanted.select((slot / page).cast("int").alias("_page"), (slot % page).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    # as 64-bit words, first byte first, so that a test is a shift: bits / page rows of 4 KB at most
+    # as 64-bit words, first byte first, so that a test is a shift
     words = F.transform(F.sequence(F.lit(0), F.lit(page // 64 - 1)), lambda i: F.conv(F.hex(F.substring("_map", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    marked = rows.withColumns({"_slot": slot, "_page": (slot / page).cast("int")}).join(F.broadcast(bits_of.select("_page", words.alias("_words"))), "_page")
-    at = (F.col("_slot") % page).cast("int")
+    empty = F.array_repeat(F.lit(0).cast("long"), page // 64)
+    # one row with all of it, bits / page pieces of 4 KB: a row's test is a look into an array, where a page looked up by a join took longer than the entries themselves
+    every = wanted.sparkSession.range(bits // page).select(F.col("id").cast("int").alias("_page")).join(bits_of, "_page", "left")
+    pieces = F.array_sort(F.collect_list(F.struct("_page", F.when(F.col("_map").isNull(), empty).otherwise(words).alias("w"))))
+    whole = every.agg(F.flatten(F.transform(pieces, lambda x: x["w"])).alias("_words"))
+    at = slot.cast("int")
     inside = F.lit(56) - F.shiftright(at % 64, 3) * 8 + at % 8
     hit = F.call_function("shiftright", F.get("_words", F.shiftright(at, 6)), inside).bitwiseAND(F.lit(1).cast("long")) != 0
-    return marked.where(hit).drop("_slot", "_page", "_words")
+    return rows.crossJoin(F.broadcast(whole)).where(hit).drop("_words")
 
 
 def _let(value: Column, f) -> Column:
